@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, licenses, lines, minhash, tokens
+from . import bpe, chat, decontam, fingerprints, licenses, lines, minhash, shards, tokens, toxicity
 from .common import documents, scratch
 
 
@@ -16,6 +17,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The production size of a shard: compressed text, so some hundred MB of rows.
+SHARD_BYTES = 32 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table through the store: append, compact until no run is due, read back."""
+    store = shards.ShardStore(spark, scratch(spark, "shards"), target_bytes=SHARD_BYTES, small_rows=4_000)
+    store.append(documents(spark, sf_dir))
+    while store.compact():
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", F.char_length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
@@ -30,6 +44,16 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, out)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scores(docs, chain).withColumnRenamed("rejected", "toxic")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(documents(spark, sf_dir))
 
@@ -48,9 +72,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
         "op3_line_dedup": op3_line_dedup,
         "op4_token_output": op4_token_output,
+        "op5_chat": op5_chat,
+        "op6_toxicity": op6_toxicity,
         "op7_minhash": op7_minhash,
         "op8_decontamination": op8_decontamination,
         "op9_fingerprints": op9_fingerprints,
@@ -70,7 +97,22 @@ FROM j GROUP BY r, doc_id
 """
 
 
+_OP1_SQL = "SELECT doc_id, lang, source, length(text) AS text_chars, md5(text) AS text_md5 FROM documents"
+
+_OP5_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t),
+c AS (SELECT conv_id, list(role || chr(1) || text ORDER BY place) AS l, count(*) AS n FROM r GROUP BY conv_id),
+p AS (SELECT DISTINCT l[1:i] AS l FROM (SELECT l, unnest(range(1, n)) AS i FROM c)),
+k AS (SELECT min(conv_id) AS conv_id FROM c WHERE l NOT IN (SELECT l FROM p) GROUP BY l)
+SELECT r.conv_id, r.place, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+FROM r JOIN k ON r.conv_id = k.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_sharding": _OP1_SQL,
+        "op5_chat": _OP5_SQL,
         "op3_line_dedup": _OP3_SQL,
     }

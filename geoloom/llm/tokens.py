@@ -34,6 +34,8 @@ from .common import partitions, ship, take_runs
 
 CHUNK = 65_536
 MAGIC = b"PLN1"
+#: Words whose documents are encoded together.
+TOGETHER = 500_000
 #: Words that a process keeps encoded; the table is begun anew beyond it.
 TABLE_WORDS = 1_500_000
 
@@ -86,7 +88,8 @@ class WordCache:
         self.lengths = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def encode(self, words: list[str]) -> np.ndarray:
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each word has."""
         table = self.table
         if len(table) > TABLE_WORDS:
             self.clear()
@@ -107,7 +110,32 @@ class WordCache:
             self.used += len(flat)
             table.update(zip(new, range(k, k + len(new))))
         at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-        return self.ids[take_runs(self.starts[at], self.lengths[at])]
+        n = self.lengths[at]
+        return self.ids[take_runs(self.starts[at], n)], n
+
+
+def _encoded(cache: WordCache, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(document id, ids); new words of many documents go to the library together."""
+    docs: list[int | None] = []
+    words: list[str] = []
+    ends = [0]
+
+    def flush() -> Iterator[tuple[int | None, np.ndarray]]:
+        ids, n = cache.encode(words)
+        at = np.concatenate([[0], np.cumsum(n)])[np.array(ends)]
+        for doc, a, b in zip(docs, at[:-1].tolist(), at[1:].tolist()):
+            yield doc, np.append(ids[a:b], np.uint32(end_id))
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(1)):
+            docs.append(doc.as_py())
+            words += cache.tok.words(text.as_py())
+            ends.append(len(words))
+            if len(words) >= TOGETHER:
+                yield from flush()
+                docs, words, ends = [], [], [0]
+    if docs:
+        yield from flush()
 
 
 _caches: dict[str, WordCache] = {}
@@ -128,19 +156,17 @@ def _chunks(path: str, end_id: int, kind: int):
             row = [file, chunk, first, len(ids), *cols, pack_chunk(ids, kind)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNKS.types)], schema=_CHUNKS)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(cache.encode(cache.tok.words(text)), np.uint32(end_id))
-                at = 0
-                while at < len(ids):
-                    own = ids[at : at + CHUNK - held]
-                    buf.append(own)
-                    runs.append((no, doc, at, len(own)))
-                    held, at = held + len(own), at + len(own)
-                    if held == CHUNK:
-                        yield close()
-                        first, chunk, held, buf, runs = first + CHUNK, chunk + 1, 0, [], []
-                no += 1
+        for doc, ids in _encoded(cache, batches, end_id):
+            at = 0
+            while at < len(ids):
+                own = ids[at : at + CHUNK - held]
+                buf.append(own)
+                runs.append((no, doc, at, len(own)))
+                held, at = held + len(own), at + len(own)
+                if held == CHUNK:
+                    yield close()
+                    first, chunk, held, buf, runs = first + CHUNK, chunk + 1, 0, [], []
+            no += 1
         if runs:
             yield close()
 
