@@ -40,11 +40,22 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; partitions and their order stay."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder.
+
+    Unlike a checkpoint it is computed once and compressed; rows come back in any
+    order and partitioning.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors' Python, once a context."""
     sc = spark.sparkContext

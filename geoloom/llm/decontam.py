@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import ship, table
 from .words import alnum_words, flat, gram_hash
 
 #: Fixed masks; 1: the word counts, 0: any word may stand there.
@@ -63,15 +63,15 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _regions(bits: int, words: np.ndarray):
     """Stretches of documents with seeds that pass the filter."""
     mask = np.uint64((1 << bits) - 1)
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[words[:, 0]] = words[:, 1].astype(np.int64).view(np.uint64)
+    filled = np.zeros(1 << (bits - 6), np.uint64)
+    filled[words[:, 0]] = words[:, 1].astype(np.int64).view(np.uint64)
     schema = pa.schema([("region", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("seed", pa.list_(pa.int64()))])
 
     def passes(h: np.ndarray) -> np.ndarray:
         a = h & mask
-        ok = np.flatnonzero((table[a >> np.uint64(6)] >> (a & np.uint64(63))) & np.uint64(1))
+        ok = np.flatnonzero((filled[a >> np.uint64(6)] >> (a & np.uint64(63))) & np.uint64(1))
         b = (h[ok] >> np.uint64(32)) & mask
-        return ok[((table[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)) != 0]
+        return ok[((filled[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)) != 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,7 +145,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     """(doc_id, item_id, doc_word, item_word, n_words, n_same): the longest overlap of each pair that has one."""
     spark = docs.sparkSession
     ship(spark)
-    bench = cut(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_seeds, "item long, item_words array<long>, at array<int>, seed array<long>"))
+    bench = table(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_seeds, "item long, item_words array<long>, at array<int>, seed array<long>"))
     seeds = bench.select("item", F.explode(F.arrays_zip(F.col("at").alias("pos"), "seed")).alias("s")).select("item", "s.pos", "s.seed")
     count = seeds.count()
     bits = min(max(BITS[0], (64 * count).bit_length()), BITS[1])
@@ -154,7 +154,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     filled = places.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v"))
     words = np.array([(r.w, r.v) for r in filled.collect()], np.int64).reshape(-1, 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    regions = cut(rows.mapInArrow(_regions(bits, words), "region long, doc long, start long, words array<long>, at array<int>, seed array<long>"))
+    regions = table(rows.mapInArrow(_regions(bits, words), "region long, doc long, start long, words array<long>, at array<int>, seed array<long>"))
     hits = regions.select("region", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("region", "h.at", "h.seed")
     small = F.broadcast if count <= BROADCAST_SEEDS else (lambda df: df)
     found = hits.join(small(seeds), "seed").select("region", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import partitions, table
 from .licenses import words
 
 SAMPLES = 16
@@ -85,7 +85,7 @@ def neighbours(ids: DataFrame, keys: list[str]) -> DataFrame:
     end rows, one row a range, meet in one task.
     """
     n = partitions(ids.sparkSession)
-    dealt = cut(ids.repartitionByRange(n, *[F.col(k).desc() for k in keys]).withColumn("__p", F.spark_partition_id()))
+    dealt = table(ids.repartitionByRange(n, *[F.col(k).desc() for k in keys]).withColumn("__p", F.spark_partition_id()))
     own = Window.partitionBy("__p").orderBy(*[F.col(k).desc() for k in keys])
     here = F.struct(*ids.columns)
     ends = dealt.groupBy("__p").agg(F.max(here).alias("top"), F.min(here).alias("low"))
@@ -117,7 +117,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).isNull().alias("anon"))
     rows = rows.withColumn("th", F.xxhash64("text", "anon"))
     ids = rows.groupBy("doc", "th").agg(F.first(F.char_length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("times"), F.first("anon").alias("anon"))
-    placed = cut(neighbours(ids, ["doc", "th"]))
+    placed = table(neighbours(ids, ["doc", "th"]))
 
     texts = rows.select("doc", "th", "text")
     give = placed.select("doc", "th", F.col("last.doc").alias("to_doc"), F.col("last.th").alias("to_th"), F.floor(F.col("last.n") / 3).cast("int").alias("need"))
@@ -134,7 +134,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         (F.sum(F.when(F.col("pos") >= F.col("na"), 1).otherwise(0)) / F.max("times")).alias("n2"),
     ).withColumn("h", F.xxhash64("w"))
     marked = samples(counted, ["doc", "th"], {"one": "n1", "two": "n2"}, n)
-    done = cut(marked.join(shas, ["doc", "th"]))
+    done = table(marked.join(shas, ["doc", "th"]))
     out = placed.join(done, ["doc", "th"])
     beside = done.select(F.col("doc").alias("next_doc"), F.col("th").alias("next_th"), F.col("one").alias("other"))
     out = out.join(beside, (out["next.doc"] == beside.next_doc) & (out["next.th"] == beside.next_th))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, partitions, ship
+from .common import mix64, partitions, ship, table
 from .components import components
 from .words import blank_words, flat, gram_hash, hashed
 
@@ -43,7 +43,7 @@ BANDS, ROWS = 25, 5
 #: Members of a bucket up to which all its pairs are candidates.
 SMALL = 16
 #: Star rounds in large buckets before all pairs that stay possible are verified.
-STARS = 3
+STARS = 1
 #: Members that one task compares with a pivot.
 CHUNK = 256
 #: Similarity, in hundredths.
@@ -133,7 +133,7 @@ def _compare(shingle: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links among distinct pairs (a, b)."""
-    pairs = cut(pairs)
+    pairs = table(pairs)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = pairs.join(sizes, "a").select("a", F.expr("pmod(xxhash64(b), chunks)").cast("long").alias("chunk"), "b")
     heads = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("doc"))
@@ -141,7 +141,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     rows = need.join(texts, "doc").select("a", "chunk", "role", "doc", "text")
     rows = rows.repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
     done = rows.mapInArrow(_compare(shingle), "a long, b long, shared long, either long")
-    return cut(done.filter(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b"))
+    return table(done.filter(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b"))
 
 
 def _alone(texts: DataFrame, shingle: int) -> DataFrame:
@@ -170,13 +170,13 @@ def _large(large: DataFrame, texts: DataFrame, links: DataFrame, label: DataFram
     """
     alone = _alone(texts.join(large.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), shingle)
     able = large.join(alone.select(F.col("doc").alias("rep"), "alone"), "rep", "left").na.fill(0, ["alone"])
-    able = cut(able.filter((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent))
+    able = table(able.filter((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent))
     possible = F.least(F.expr("x.n - x.alone"), F.expr("y.n - y.alone")) * 100 >= F.greatest(F.expr("x.n + y.alone"), F.expr("y.n + x.alone")) * percent
     centres = None
     for turn in range(STARS + 1):
         now = able.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         split = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        now = cut(now.join(split, "key", "left_semi"))
+        now = table(now.join(split, "key", "left_semi"))
         if not now.limit(1).count():
             return label
         left = now
@@ -184,9 +184,9 @@ def _large(large: DataFrame, texts: DataFrame, links: DataFrame, label: DataFram
             known = centres.join(now.select("key", F.col("rep").alias("centre"), "c"), ["key", "centre"]).select("key", "c").distinct()
             left = now.join(known, ["key", "c"], "left_anti")
         if turn < STARS:
-            best = cut(left.groupBy("key").agg(F.min(F.struct("alone", "rep", "n", "c")).alias("m")).select("key", "m.*"))
+            best = table(left.groupBy("key").agg(F.min(F.struct("alone", "rep", "n", "c")).alias("m")).select("key", "m.*"))
             own = best.select("key", F.col("rep").alias("centre"))
-            centres = own if centres is None else cut(centres.union(own))
+            centres = own if centres is None else table(centres.union(own))
             left = best
         x, y = left.alias("x"), now.alias("y")
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & possible)
@@ -204,16 +204,16 @@ def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_c
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    feats = cut(rows.mapInArrow(_features(shingle, bands, band_rows), "doc long, n long, k1 long, k2 long, bands array<long>"))
+    feats = table(rows.mapInArrow(_features(shingle, bands, band_rows), "doc long, n long, k1 long, k2 long, bands array<long>"))
     named = feats.filter("n > 0 and doc is not null")
     classes = named.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     first = classes.filter("copies > 1").select("k1", "k2", "rep")
     reps = named.join(first, ["k1", "k2"], "left").filter("rep is null or rep = doc").select(F.col("doc").alias("rep"), "n", "bands").dropDuplicates(["rep", "bands"])
-    banded = cut(reps.select("rep", "n", F.explode("bands").alias("key")).filter("key is not null"))
+    banded = table(reps.select("rep", "n", F.explode("bands").alias("key")).filter("key is not null"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("size > 1")
-    buckets = cut(buckets.groupBy("size", "pivot", "who").agg(F.min("key").alias("key")))
-    members = cut(banded.join(buckets.select("key", "size", "pivot"), "key"))
-    texts = cut(rows.filter("doc is not null").join(members.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"))
+    buckets = table(buckets.groupBy("size", "pivot", "who").agg(F.min("key").alias("key")))
+    members = table(banded.join(buckets.select("key", "size", "pivot"), "key"))
+    texts = table(rows.filter("doc is not null").join(members.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"))
     few = members.filter(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("all"))
     few = few.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
     links = _verified(few.distinct(), texts, percent, shingle)
