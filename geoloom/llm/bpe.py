@@ -97,7 +97,8 @@ class WordTokenizer:
         return out
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        out = [x.ids for x in self.of_word.encode_batch(words, add_special_tokens=False)]
+        encode = getattr(self.of_word, "encode_batch_fast", self.of_word.encode_batch)  # without offsets, where there is one
+        out = [x.ids for x in encode(words, add_special_tokens=False)]
         for k, w in enumerate(words):
             if w[:1] == "\n":
                 out[k] = [self.special[w[1:]]]

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from .common import partitions, ship, take_runs
 
 CHUNK = 65_536
 MAGIC = b"PLN1"
-#: Words whose documents are encoded together.
-TOGETHER = 500_000
+#: Documents that are encoded together.
+TOGETHER = 2_000
 #: Words that a process keeps encoded; the table is begun anew beyond it.
 TABLE_WORDS = 1_500_000
 
@@ -74,68 +75,78 @@ def unpack_chunk(payload: bytes) -> np.ndarray:
     return out.view("<u4").ravel() if kind == 8 else out
 
 
+class _Table:
+    """Ids by string, in one growing array."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def add(self, keys: list[str], n: np.ndarray, flat: np.ndarray) -> None:
+        k = len(self.at)
+        while len(self.starts) < k + len(keys):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.starts[k : k + len(keys)] = self.used + np.cumsum(n) - n
+        self.lengths[k : k + len(keys)] = n
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.at.update(zip(keys, range(k, k + len(keys))))
+
+    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        n = self.lengths[at]
+        return self.ids[take_runs(self.starts[at], n)], n
+
+
 class WordCache:
-    """Ids of words, encoded by the library once while the table holds them."""
+    """Ids of stretches between white space, whose words the library has encoded, while the tables hold them.
+
+    No word crosses white space, so a stretch's ids are those of its words; white
+    space beyond ASCII within a stretch is the tokenizer's own matter.
+    """
 
     def __init__(self, path: str) -> None:
         self.tok = tokenizer(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.table: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids in a row, and how many each word has."""
-        table = self.table
-        if len(table) > TABLE_WORDS:
-            self.clear()
-            table = self.table
-        new = [w for w in dict.fromkeys(words) if w not in table]
+        self.words, self.stretches = _Table(), _Table()
+
+    def encode(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The stretches' ids in a row, and how many each has."""
+        coded = stretches.dictionary_encode()
+        ids, n = self._encode(coded.dictionary.to_pylist())
+        at, starts = coded.indices.to_numpy(), np.cumsum(n) - n
+        return ids[take_runs(starts[at], n[at])], n[at]
+
+    def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words.at) > TABLE_WORDS or len(self.stretches.at) > TABLE_WORDS:
+            self.words, self.stretches = _Table(), _Table()
+        new = [x for x in stretches if x not in self.stretches.at]
         if new:
-            more = self.tok.encode(new)
-            n = np.fromiter(map(len, more), np.int64, len(more))
-            flat = np.fromiter((i for x in more for i in x), np.uint32, int(n.sum()))
-            k = len(table)
-            while len(self.starts) < k + len(new):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            while len(self.ids) < self.used + len(flat):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.starts[k : k + len(new)] = self.used + np.cumsum(n) - n
-            self.lengths[k : k + len(new)] = n
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            table.update(zip(new, range(k, k + len(new))))
-        at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-        n = self.lengths[at]
-        return self.ids[take_runs(self.starts[at], n)], n
+            parts = [self.tok.words(x) for x in new]
+            words = [w for p in parts for w in p]
+            fresh = [w for w in set(words) if w not in self.words.at]
+            if fresh:
+                ids = self.tok.encode(fresh)
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                self.words.add(fresh, n, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
+            flat, n = self.words.get(words)
+            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+            self.stretches.add(new, np.diff(ends), flat)
+        return self.stretches.get(stretches)
 
 
 def _encoded(cache: WordCache, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(document id, ids); new words of many documents go to the library together."""
-    docs: list[int | None] = []
-    words: list[str] = []
-    ends = [0]
-
-    def flush() -> Iterator[tuple[int | None, np.ndarray]]:
-        ids, n = cache.encode(words)
-        at = np.concatenate([[0], np.cumsum(n)])[np.array(ends)]
-        for doc, a, b in zip(docs, at[:-1].tolist(), at[1:].tolist()):
-            yield doc, np.append(ids[a:b], np.uint32(end_id))
-
-    for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
-            docs.append(doc.as_py())
-            words += cache.tok.words(text.as_py())
-            ends.append(len(words))
-            if len(words) >= TOGETHER:
-                yield from flush()
-                docs, words, ends = [], [], [0]
-    if docs:
-        yield from flush()
+    """(document id, ids); many documents are split and looked up together."""
+    for whole in batches:
+        for k in range(0, len(whole), TOGETHER):
+            batch = whole.slice(k, TOGETHER)
+            lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
+            ids, n = cache.encode(lists.flatten())
+            at = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                yield doc, np.append(ids[a:b], np.uint32(end_id))
 
 
 _caches: dict[str, WordCache] = {}
