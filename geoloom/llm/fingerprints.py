@@ -103,7 +103,8 @@ def neighbours(ids: DataFrame, keys: list[str]) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLES) -> DataFrame:
     """(doc_id, sample array<int>) of every row: the operator's plain form."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.explode_outer(words(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("all")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", "doc_id", F.explode_outer("all").alias("w"))
     counted = rows.groupBy("row", "doc_id", "w").agg(F.count("w").alias("n")).withColumn("h", F.xxhash64("w"))
     return samples(counted, ["row", "doc_id"], {"sample": "n"}, n).drop("row")
 
