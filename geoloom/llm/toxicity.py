@@ -5,7 +5,8 @@ features of a text's distinct words, and the probabilities of the categories bef
 it are further features. While training, those probabilities are out-of-fold: each
 row's come from models that have not seen it, as it will be for new texts.
 
-Features are each distinct word and its first ``PREFIX`` letters. A model is fitted
+Features are each distinct word and its starts of ``PREFIXES`` letters, of words that
+are as long. A model is fitted
 on a sample of at most ``MAX_ROWS`` labelled rows, half of them positive for the last
 category where there are so many, chosen by hash; the intercept is then moved from
 the sample's share of positives to the table's. All else covers every row: each text
@@ -34,19 +35,28 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 MAX_ROWS = 8_000
 FOLDS = 3
 FEATURES = 1 << 18
-PREFIX = 4
-THRESHOLD = 0.5
-STEPS = 80
+PREFIXES = (4, 5, 6, 7)
+THRESHOLD = 0.4
+STEPS, RATE = 200, 0.05
 RIDGE = 1e-4
+#: A feature counts if so many rows of the sample have it, and if its share of positives is so many standard errors off.
+MIN_ROWS, MIN_Z = 3, 4.0
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed features of the distinct words."""
+def _of_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features, and the number of the word that each comes from."""
     import xxhash
 
-    words = set(alnum_words(text))
-    both = [xxhash.xxh32_intdigest(w) for w in words] + [xxhash.xxh32_intdigest(w.decode()[:PREFIX], 1) for w in words]
-    return np.array(both, np.int64) & (FEATURES - 1)
+    text = [w.decode() for w in words]
+    hashed = [(xxhash.xxh32_intdigest(w), k) for k, w in enumerate(words)]
+    hashed += [(xxhash.xxh32_intdigest(w[:n], n), k) for n in PREFIXES for k, w in enumerate(text) if len(w) >= n]
+    both = np.array(hashed, np.int64).reshape(-1, 2)
+    return both[:, 0] & (FEATURES - 1), both[:, 1]
+
+
+def features(text: str | None) -> np.ndarray:
+    """Hashed features of the distinct words, each once."""
+    return np.unique(_of_words(list(set(alnum_words(text))))[0])
 
 
 class Linear:
@@ -62,9 +72,15 @@ class Linear:
         if not n or y.min() == y.max():
             rate = float(y.mean()) if n else 0.0
             return Linear(np.zeros(FEATURES, np.float32), np.zeros(dense.shape[1]), _logit(rate))
-        at, length = np.concatenate(rows), np.array([len(r) for r in rows])
-        used, at = np.unique(at, return_inverse=True)
-        row = np.repeat(np.arange(n), length)
+        at, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+        # features that tell the kinds apart; words of one or two texts would only be learnt by heart
+        pos, held = np.bincount(at, y[row], FEATURES), np.bincount(at, minlength=FEATURES)
+        share, rate = pos / np.maximum(held, 1), y.mean()
+        z = (share - rate) * np.sqrt(np.maximum(held, 1) / (rate * (1 - rate)))
+        telling = (held >= MIN_ROWS) & (np.abs(z) >= MIN_Z)
+        keep = telling[at]
+        used, at = np.unique(at[keep], return_inverse=True)
+        row = row[keep]
         w = np.zeros(len(used) + dense.shape[1] + 1)
         m, v = np.zeros_like(w), np.zeros_like(w)
         k = len(used)
@@ -74,7 +90,7 @@ class Linear:
             g = np.concatenate([np.bincount(at, e[row], k), dense.T @ e, [e.sum()]])
             g[:-1] += RIDGE * w[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         out = np.zeros(FEATURES, np.float32)
         out[used] = w[:k]
         return Linear(out, w[k:-1], float(w[-1]))
@@ -156,32 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
 
 
 class _Scorer:
-    """Probabilities of many texts; what a word adds to each model is kept while the words are not too many."""
+    """Probabilities of many texts; the features of words that weigh anything are kept while the words are not too many."""
 
     def __init__(self, chain: Chain) -> None:
-        self.chain, self.known = chain, {}
-        self.tables = [m.weights.astype(float) for m in chain.models]
+        self.chain = chain
+        self.weigh = np.any([m.weights != 0 for m in chain.models], axis=0)
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        import xxhash
-
-        known, z = self.known, np.zeros((len(texts), len(self.tables)))
-        for k, text in enumerate(texts):
+        known, rows = self.known, []
+        for text in texts:
             own = set(alnum_words(text.as_py()))
             new = [w for w in own if w not in known]
             if new:
-                if len(known) > 500_000:
+                if len(known) > 1_000_000:
                     known.clear()
                     new = list(own)
-                a = np.array([xxhash.xxh32_intdigest(w) for w in new], np.int64) & (FEATURES - 1)
-                b = np.array([xxhash.xxh32_intdigest(w.decode()[:PREFIX], 1) for w in new], np.int64) & (FEATURES - 1)
-                known.update(zip(new, zip(*[(t[a] + t[b]).tolist() for t in self.tables])))
-            if own:
-                z[k] = np.array([known[w] for w in own]).sum(0)
-        seen = np.zeros((len(texts), 0))
-        for j, model in enumerate(self.chain.models):
-            seen = np.column_stack([seen, _sigmoid(z[:, j] + seen @ model.dense + model.bias)])
-        return seen
+                known.update(dict.fromkeys(new, ()))
+                at, word = _of_words(new)
+                hit = self.weigh[at]
+                for f, k in zip(at[hit].tolist(), word[hit].tolist()):
+                    known[new[k]] += (f,)
+            rows.append(np.array(list({f for w in own for f in known[w]}), np.int64))
+        return self.chain.predict(rows)
 
 
 def scores(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
