@@ -20,9 +20,8 @@ count only once a manifest names their shard. ``vacuum`` deletes what the newest
 version doesn't name.
 
 Bytes are those of the files. Defined results: all rows are kept as they are, with
-nulls, repeats and any other columns; an empty frame adds no shard, and a store
-without a version reads as an error. The table must not have a column ``shard``
-(it is renamed on the way in and back out).
+nulls, repeats and any columns but those whose names start with ``__gl_``; an empty
+frame adds no shard, and reading a store without a version is an error.
 """
 
 from __future__ import annotations
@@ -143,11 +142,11 @@ class ShardStore:
             return None
         batch = uuid.uuid4().hex[:12]
         named = plan.withColumn("into", F.concat(F.lit(f"m-{batch}-"), "run"))
-        steps = F.broadcast(named.select("shard", "into", "parts")) if count <= BROADCAST_SHARDS else named.select("shard", "into", "parts")
+        steps = named.select(F.col("shard").alias("__gl_from"), F.col("into").alias("__gl_into"), F.col("parts").alias("__gl_parts"))
         rows = self._raw(base)
-        rows = rows.join(steps, rows[SHARD] == steps["shard"]).drop("shard", SHARD)
-        spread = F.pmod(F.monotonically_increasing_id(), F.col("parts"))
-        rows = rows.withColumn(SHARD, F.concat("into", F.lit("-"), spread.cast("string"))).drop("into", "parts")
+        rows = rows.join(F.broadcast(steps) if count <= BROADCAST_SHARDS else steps, F.col(SHARD) == F.col("__gl_from")).drop("__gl_from", SHARD)
+        spread = F.pmod(F.monotonically_increasing_id(), F.col("__gl_parts"))
+        rows = rows.withColumn(SHARD, F.concat("__gl_into", F.lit("-"), spread.cast("string"))).drop("__gl_into", "__gl_parts")
         at = f"{self.path}/data/__gl_batch={batch}"
         self._write(rows.repartition(partitions(self.spark), SHARD), at)
         kept = self.manifest(base)
@@ -162,7 +161,7 @@ class ShardStore:
         version = self.version() if version is None else version
         rows = self._raw(version)
         live = self.manifest(version).select(F.col("shard").alias("__gl_live"))
-        return rows.join(live, rows[SHARD] == F.col("__gl_live"), "left_semi").drop(SHARD)
+        return rows.join(live, F.col(SHARD) == F.col("__gl_live"), "left_semi").drop(SHARD)
 
     def vacuum(self) -> int:
         """Delete shards that the newest version doesn't name; how many went."""

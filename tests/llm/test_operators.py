@@ -297,7 +297,7 @@ def test_shards(spark, tmp_path):
     assert first == 1 and last > 1 and len(entries) < before and sum(r.rows for r in entries) == 1000
     want = sorted(map(str, docs.collect()))
     assert sorted(map(str, store.read().select(*docs.columns).collect())) == want == sorted(map(str, store.read(1).select(*docs.columns).collect()))
-    assert store.vacuum() == before and sorted(map(str, store.read().select(*docs.columns).collect())) == want
+    assert store.vacuum() >= before and sorted(map(str, store.read().select(*docs.columns).collect())) == want
     store.append(docs.limit(0))
     store.append(docs.limit(10))
     assert store.read().count() == 1010 and sum(r.rows for r in store.manifest().collect()) == 1010
