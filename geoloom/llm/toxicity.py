@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +73,18 @@ class Linear:
         if not n or y.min() == y.max():
             rate = float(y.mean()) if n else 0.0
             return Linear(np.zeros(FEATURES, np.float32), np.zeros(dense.shape[1]), _logit(rate))
-        at, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
         # features that tell the kinds apart; words of one or two texts would only be learnt by heart
-        pos, held = np.bincount(at, y[row], FEATURES), np.bincount(at, minlength=FEATURES)
-        share, rate = pos / np.maximum(held, 1), y.mean()
-        z = (share - rate) * np.sqrt(np.maximum(held, 1) / (rate * (1 - rate)))
+        pos, held = np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32)
+        for r, v in zip(rows, y):  # each feature is there once a row
+            held[r] += 1
+            if v:
+                pos[r] += 1
+        rate = y.mean()
+        z = (pos / np.maximum(held, 1) - rate) * np.sqrt(np.maximum(held, 1) / (rate * (1 - rate)))
         telling = (held >= MIN_ROWS) & (np.abs(z) >= MIN_Z)
-        keep = telling[at]
-        used, at = np.unique(at[keep], return_inverse=True)
-        row = row[keep]
+        few = [r[telling[r]] for r in rows]
+        used, at = np.unique(np.concatenate(few), return_inverse=True)
+        row = np.repeat(np.arange(n), [len(r) for r in few])
         w = np.zeros(len(used) + dense.shape[1] + 1)
         m, v = np.zeros_like(w), np.zeros_like(w)
         k = len(used)
@@ -166,9 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
             at = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1 + len(names))), at], ["__gl_doc", *names, "at"])
 
-    got = first.mapInArrow(extract, "__gl_doc long, " + ", ".join(f"{n} double" for n in names) + ", at array<int>").toPandas().sort_values("__gl_doc")
-    folds = np.array([hash(int(d)) % FOLDS for d in got["__gl_doc"]], np.int64)
-    return Chain.fit(names, [np.asarray(x, np.int64) for x in got["at"]], got[names].to_numpy(float).reshape(-1, len(names)), folds, [rates[n] or 0.0 for n in names])
+    got = first.mapInArrow(extract, "__gl_doc long, " + ", ".join(f"{n} double" for n in names) + ", at array<int>").toArrow().combine_chunks().sort_by("__gl_doc")
+    folds = got["__gl_doc"].to_numpy() % FOLDS
+    known = np.column_stack([got[n].to_numpy() for n in names]).astype(float) if len(got) else np.zeros((0, len(names)))
+    lists = [x for c in got["at"].chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(c).to_numpy())[:-1])] if len(got) else []
+    return Chain.fit(names, lists, known, folds, [rates[n] or 0.0 for n in names])
 
 
 class _Scorer:
