@@ -13,9 +13,10 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     docs, marks = {}, []
     for i in range(240):
         docs[i] = text(rng.randint(3, 9))
+    docs[2] = text(9)
     for i in range(240, 320):  # toxic
         docs[i] = text(4).replace(" ", " horribleword ", 2)
-    near = {320: docs[0], 321: docs[0].replace(docs[0].split()[5], "changed", 1), 322: docs[1] + " "}
+    near = {320: docs[0], 321: docs[2].replace(docs[2].split()[5], "changed", 1), 322: docs[1] + " "}
     docs |= near
     bench = {0: text(3), 1: text(2)}
     docs |= {330: text(2) + "\n" + bench[0] + "\n" + text(2), 331: bench[1]}
