@@ -7,7 +7,7 @@ kept in one only, that of the lower left corner of the envelopes' common part, s
 ``distinct`` is needed. Cells have levels, each 8 times as wide as the one before: an
 envelope has the finest level at which it covers few cells, also lies in the coarser
 ones, and two envelopes meet at the coarser of their levels. So no row covers many
-cells, however unlike the extents are. A small side is broadcast, by a check of its
+cells, however unlike the extents are. A small right side is broadcast, by a check of its
 size; else AQE divides cells that very many rows lie in.
 """
 
