@@ -14,6 +14,9 @@ from geoloom.llm import bpe, decontam, lines, minhash, toxicity
 from geoloom.llm.common import scratch
 from geoloom.llm.queries import tokenizer_path
 
+#: Similarity of word shingles, in hundredths, from which documents are near duplicates; op7_minhash has its own.
+NEAR_PERCENT = 80
+
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier chain rejects."""
@@ -26,8 +29,8 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return minhash.apply(docs)
+    """One document of each near-duplicate group, linked from ``NEAR_PERCENT`` on."""
+    return minhash.apply(docs, NEAR_PERCENT)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

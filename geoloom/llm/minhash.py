@@ -16,8 +16,9 @@
 6. Large buckets that did not become one component are finished exactly, see
    :func:`_large`.
 
-Bands: with ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.85 is missed
-with probability (1 - 0.85^ROWS)^BANDS, under 1e-6.
+Bands: with B bands of ``ROWS`` rows a pair at similarity s is missed with
+probability (1 - s^ROWS)^B. B follows from the threshold, so that a pair at it is
+missed with a probability under ``MISS``: 25 bands for 0.85, 37 for 0.80.
 
 Defined results: a document without words has no shingles and links with nothing.
 A null id is reported with a null component and kept. Rows that share an id are
@@ -27,6 +28,7 @@ one document whose row sets are compared one by one; each row has its own
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ from .components import components
 from .words import blank_words, flat, gram_hash, hashed
 
 SHINGLE = 5
-BANDS, ROWS = 25, 5
+ROWS = 5
+#: The most probable a pair at the threshold is missed.
+MISS = 5e-7
 #: Members of a bucket up to which all its pairs are candidates.
 SMALL = 16
 #: Star rounds in large buckets before all pairs that stay possible are verified.
@@ -84,6 +88,11 @@ def superminhash(elements: np.ndarray, slots: int) -> np.ndarray:
     return sig
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands of ``rows`` rows that miss a pair at the threshold with a probability under ``MISS``."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(percent / 100, 0.999999) ** rows)))
+
+
 def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(rows):
@@ -199,9 +208,10 @@ def _large(large: DataFrame, texts: DataFrame, links: DataFrame, label: DataFram
     return label
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, band_rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
+    bands = bands or bands_for(percent, band_rows)
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     feats = table(rows.mapInArrow(_features(shingle, bands, band_rows), "doc long, n long, k1 long, k2 long, bands array<long>"))

@@ -41,3 +41,25 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {330, 331}
     assert set(seen["bpe"]) == set(seen["decontamination"]) and all(r.n_tokens > 0 for r in seen["bpe"].values())
     assert corpus_pipeline.run(spark, d).count() == len(seen["bpe"])
+
+
+def test_near_dedup_links_from_080(spark):
+    import corpus_pipeline
+    from geoloom.llm import minhash
+
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(0, 80, 2):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        x = list(w)
+        for at in (20, 60, 100, 140, 180)[: 4 + (i % 4 > 0)]:  # each takes 5: 180 of 220 are 0.818, 175 of 225 are 0.778
+            x[at] = "changed"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(x))]
+        if i % 4 == 0:
+            want.add(i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline._near_dedup(spark, docs, "").collect()}
+    assert {i for i, _ in rows} - left == want
+    assert minhash.groups(docs).filter("not kept").count() == 0  # op7_minhash links from 0.85
+    assert (minhash.bands_for(85), minhash.bands_for(80)) == (25, 37)
+    assert (1 - 0.80**minhash.ROWS) ** minhash.bands_for(80) < 1e-6
