@@ -207,6 +207,19 @@ for _how, _sql in {"inner": "JOIN", "left_outer": "LEFT JOIN", "right_outer": "R
     SQL[f"join_{_how}"] = f"SELECT c_custkey, c_name{'' if _how == 'semi' else ', o_orderkey AS okey'} FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c {_sql} (SELECT * FROM orders WHERE o_totalprice > 150000) o ON c_custkey = o_custkey"
 
 
+def _whole_join(how: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = "left.{c_custkey, c_name}" if how == "semi" else "left.{c_custkey, c_name}, right.{o_orderkey as okey}"
+        return table(spark, d, "customer").hash_join("c_custkey", table(spark, d, "orders"), "o_custkey", out, how).df
+
+    return run
+
+
+for _how, _sql in {"inner": "JOIN", "left_outer": "LEFT JOIN", "right_outer": "RIGHT JOIN", "full_outer": "FULL JOIN", "semi": "SEMI JOIN"}.items():
+    QUERIES[f"join_{_how}_all"] = _whole_join(_how)
+    SQL[f"join_{_how}_all"] = f"SELECT c_custkey, c_name{'' if _how == 'semi' else ', o_orderkey AS okey'} FROM customer c {_sql} orders o ON c_custkey = o_custkey"
+
+
 # -- functions
 
 
