@@ -14,6 +14,8 @@ and the likeness of two is the share of equal samples.
 ln a and the sample's 16 bits are packed into one long, so a sample is a plain
 minimum: words become rows once, counts and samples are hash aggregations that keep
 the partitioning of the texts, and only texts and finished fingerprints are shuffled.
+A counted word is repeated for each ``PART`` samples, so that the generated code stays
+small however many samples there are.
 
 Defined results: a null text counts as empty. A text without words has a fingerprint
 of its own kind, like only to others without words. Ids are ordered with null below
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import partitions, table
 from .licenses import words
 
-SAMPLES = 16
+SAMPLES = 64
+#: Samples that one aggregation row makes.
+PART = 16
 _NO_ID = -(2**63)
 
 
@@ -57,14 +61,17 @@ def samples(counted: DataFrame, keys: list[str], sides: dict[str, str], n: int =
 
     sides: output name by count column. Rows whose count is null or 0 don't count for that side.
     """
-    aggs = []
-    for k in range(n):
-        x, y = F.xxhash64("h", F.lit(2 * k)), F.xxhash64("h", F.lit(2 * k + 1))
+    aggs, step = [], min(n, PART)
+    for k in range(step):
+        x, y = (F.xxhash64("h", F.lit(2 * k + i) + F.col("__part") * (2 * step)) for i in range(2))
         for name, count in sides.items():
             aggs.append(F.min(_sample(x, y, F.col(f"__log_{name}"))).alias(f"__{name}_{k}"))
     logged = counted.withColumns({f"__log_{name}": F.when(F.col(count) > 0, F.log(F.col(count).cast("double"))) for name, count in sides.items()})
-    done = logged.groupBy(*keys).agg(*aggs)
-    return done.select(*keys, *[F.array(*[F.col(f"__{name}_{k}").bitwiseAND(0xFFFF).cast("int") for k in range(n)]).alias(name) for name in sides])
+    parts = logged.withColumn("__part", F.explode(F.array(*[F.lit(p) for p in range(-(-n // step))])))
+    done = parts.groupBy(*keys, "__part").agg(*aggs)
+    done = done.select(*keys, F.struct("__part", *[F.array(*[F.col(f"__{name}_{k}").bitwiseAND(0xFFFF).cast("int") for k in range(step)]).alias(name) for name in sides]).alias("__own"))
+    whole = done.groupBy(*keys).agg(F.array_sort(F.collect_list("__own")).alias("__all"))
+    return whole.select(*keys, *[F.slice(F.flatten(F.col(f"__all.{name}")), 1, n).alias(name) for name in sides])
 
 
 def text_of(sample: Column) -> Column:
