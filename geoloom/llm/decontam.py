@@ -3,140 +3,183 @@
 A seed is a hash of the words under a fixed mask; the mask's zeros stand for
 words that may differ, so a passage with replaced words still shares seeds with
 its source. The masks below leave at least one seed whole in any twelve aligned
-words of which two differ.
+words of which two differ. Items shorter than ``SHORT`` words have masks of their
+own: each leaves out as many of the item's words as may differ.
 
 1. Seeds of the benchmark are made once. A Bloom filter over them, of a size
    that is bounded whatever the benchmark's, goes to every task.
-2. One pass over the documents finds the places whose seeds pass the filter and
-   returns them by region: the region's word hashes and its seeds.
-3. The regions' seeds are joined with the benchmark's on the hash. A hit gives
-   (region, item, diagonal); repeated hits on a diagonal collapse.
-4. Each diagonal is verified word by word: an overlap is a stretch of at least
-   ``min_words`` aligned words (or the whole item, if shorter) of which the share
-   ``min_share`` or more agrees, grown as far as that holds.
-
-Defined results: null and empty texts, and benchmark items of fewer words than
-the shortest mask spans, overlap with nothing. Rows that share an id each yield
-their overlaps, and the best one of each (id, item) is returned. Other columns
-are ignored, or pass through :func:`apply`.
+2. One pass over the documents returns the places whose seeds pass the filter.
+3. They are joined with the benchmark's seeds on the hash. A hit gives
+   (document, item, diagonal); repeated hits on a diagonal collapse.
+4. Each diagonal is verified word by word on the whole document and the whole item:
+   an overlap is the longest stretch of at least ``min_words`` aligned words (or the
+   whole item, if shorter) of which the share ``min_share`` or more agrees. A
+   document's candidates come to its text in one stream.
+
+Defined results: null and empty texts, and items without words, overlap with
+nothing. Rows that share an id each yield their overlaps, and the best one of each
+(id, item) is returned; ties go to the most agreeing words, then to the first place
+in the document, then in the item. Null ids of documents and items are ids like any
+other. Very long texts and overlaps are worked on whole. An empty table on either
+side gives no rows. Other columns, whatever their names, are ignored, or pass
+through :func:`apply`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
-from .words import alnum_words, flat, gram_hash
+from .common import partitions, ship, table
+from .words import alnum_words, flat, gram_hash, hashed
 
 #: Fixed masks; 1: the word counts, 0: any word may stand there.
 MASKS = ("111111", "11101011", "110011011", "11010111", "1111001001")
 MIN_WORDS = 12
 MIN_SHARE = 0.8
-#: Words around a region's hits that are kept for the check; longer overlaps join regions.
-AROUND = 24
-#: The Bloom filter's bits: 64 a seed within these bounds.
-BITS = (16, 26)
+#: Items of fewer words have masks of their own length.
+SHORT = 12
+#: The Bloom filter's bits: 256 a seed within these bounds.
+BITS = (16, 28)
+#: Bits of the filter that one task fills and the driver receives as one row.
+BLOCK_BITS = 20
 #: Seeds of the benchmark up to which they are broadcast; beyond it the join is shuffled.
 BROADCAST_SEEDS = 200_000
 
-_OFFSETS = tuple(tuple(k for k, c in enumerate(m) if c == "1") for m in MASKS)
+#: (offsets of the words that count, the length of the items it is for or 0 for all)
+Mask = tuple[tuple[int, ...], int]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, batch, h, ends in flat(batches, alnum_words):
-        ids = batch.column(0)
-        for k, a, b in zip(rows, ends[:-1].tolist(), ends[1:].tolist()):
-            own = h[a:b]
-            seeds = [gram_hash(own, o, s) for s, o in enumerate(_OFFSETS)]
-            pos = np.concatenate([np.arange(len(x)) for x in seeds])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k].as_py()], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64())), pa.array([pos], pa.list_(pa.int32())), pa.array([np.concatenate(seeds).view(np.int64)], pa.list_(pa.int64()))],
-                ["item", "item_words", "at", "seed"],
-            )
+def masks_for(lengths: list[int], min_share: float = MIN_SHARE) -> list[Mask]:
+    """The fixed masks, and for each short length those that leave out the words that may differ."""
+    out: list[Mask] = [(tuple(k for k, c in enumerate(m) if c == "1"), 0) for m in MASKS]
+    for n in sorted(lengths):
+        may = min(n - 1, int((1 - min_share) * n + 1e-9))
+        out += [(tuple(k for k in range(n) if k not in gone), n) for gone in combinations(range(n), may)]
+    return out
 
 
-def _regions(bits: int, words: np.ndarray):
-    """Stretches of documents with seeds that pass the filter."""
-    mask = np.uint64((1 << bits) - 1)
-    filled = np.zeros(1 << (bits - 6), np.uint64)
-    filled[words[:, 0]] = words[:, 1].astype(np.int64).view(np.uint64)
-    schema = pa.schema([("region", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("seed", pa.list_(pa.int64()))])
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [hashed(alnum_words(t)).view(np.int64) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64()))], ["item", "ik", "item_words"])
+
+
+def _seeds(masks: list[Mask]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, ik, words in zip(*batch.columns):
+                own = words.values.to_numpy().view(np.uint64) if len(words) else np.zeros(0, np.uint64)
+                seeds = [gram_hash(own, o, s) if n in (0, len(own)) else own[:0] for s, (o, n) in enumerate(masks)]
+                pos = np.concatenate([np.arange(len(x)) for x in seeds])
+                k = len(pos)
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * k, pa.int64()), pa.array([ik.as_py()] * k, pa.int64()), pa.array(pos, pa.int64()), pa.array(np.concatenate(seeds).view(np.int64))], ["item", "ik", "pos", "seed"])
+
+    return run
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bit) in order of block to (block, its bits)."""
+    block, own = None, None
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
+    for batch in batches:
+        at, bits = (c.to_numpy() for c in batch.columns)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]) if len(at) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if at[a] != block:
+                if own is not None:
+                    yield done()
+                block, own = int(at[a]), np.zeros(1 << (BLOCK_BITS - 6), np.uint64)
+            bit = (bits[a:b] & ((1 << BLOCK_BITS) - 1)).astype(np.uint64)
+            np.bitwise_or.at(own, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    if own is not None:
+        yield done()
+
+
+def _filter(seeds: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """The Bloom filter's bits and words; the driver receives as many bytes as it has, at most 32 MB."""
+    bits = min(max(BITS[0], (256 * count).bit_length()), BITS[1])
+    low = (1 << bits) - 1
+    places = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(low), F.shiftrightunsigned("seed", 32).bitwiseAND(low))).alias("bit"))
+    dealt = places.select(F.shiftright("bit", BLOCK_BITS).alias("block"), "bit").repartition(partitions(seeds.sparkSession), "block").sortWithinPartitions("block")
+    words = np.zeros(max(1, 1 << (bits - BLOCK_BITS) if bits > BLOCK_BITS else 1) << (BLOCK_BITS - 6), np.uint64)
+    for row in dealt.mapInArrow(_fill, "block long, bits binary").toLocalIterator():
+        at = row.block << (BLOCK_BITS - 6)
+        words[at : at + (1 << (BLOCK_BITS - 6))] = np.frombuffer(row.bits, np.uint64)
+    return bits, words
 
-    def passes(h: np.ndarray) -> np.ndarray:
-        a = h & mask
-        ok = np.flatnonzero((filled[a >> np.uint64(6)] >> (a & np.uint64(63))) & np.uint64(1))
-        b = (h[ok] >> np.uint64(32)) & mask
-        return ok[((filled[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)) != 0]
+
+def _places(masks: list[Mask], bits: int, sent):
+    """(doc, th, at, seed) of the places whose seeds pass the filter."""
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        filled = sent.value
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            a = h & mask
+            ok = np.flatnonzero((filled[a >> np.uint64(6)] >> (a & np.uint64(63))) & np.uint64(1))
+            b = (h[ok] >> np.uint64(32)) & mask
+            return ok[((filled[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1)) != 0]
 
-        number = TaskContext.get().partitionId() << 33
         for rows, batch, h, ends in flat(batches, alnum_words):
-            at, seed = [], []
-            for s, offsets in enumerate(_OFFSETS):
+            for s, (offsets, _) in enumerate(masks):
                 g = gram_hash(h, offsets, s)
                 ok = passes(g)
                 row = np.searchsorted(ends, ok, side="right") - 1
-                ok = ok[ok + offsets[-1] < ends[row + 1]]
-                at.append(ok)
-                seed.append(g[ok])
-            where, what = np.concatenate(at), np.concatenate(seed)
-            if not len(where):
-                continue
-            by = np.argsort(where, kind="stable")
-            where, what = where[by], what[by]
-            row = np.searchsorted(ends, where, side="right") - 1
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(where) > 2 * AROUND) | (np.diff(row) > 0)]))
-            out: list[tuple] = []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(where)]):
-                lo = max(int(ends[row[a]]), int(where[a]) - AROUND)
-                hi = min(int(ends[row[a] + 1]), int(where[b - 1]) + AROUND + 10)
-                doc = batch.column(0)[rows[row[a]]].as_py()
-                out.append((number, doc, lo - int(ends[row[a]]), h[lo:hi].view(np.int64), (where[a:b] - lo).astype(np.int32), what[a:b].view(np.int64)))
-                number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                inside = ok + offsets[-1] < ends[row + 1]
+                ok, row = ok[inside], row[inside]
+                if len(ok):
+                    own = pa.array(np.array(rows)[row])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(ok - ends[row]), pa.array(g[ok].view(np.int64))], ["doc", "th", "at", "seed"])
 
     return run
 
 
 def _best(same: np.ndarray, share: float) -> tuple[int, int]:
-    """The longest stretch of which the share agrees, as (start, end).
+    """The longest stretch of which the share agrees, as (start, end); of equal ones the one that agrees most, then the first.
 
     With +1-share for a match and -share for a difference a stretch qualifies
     iff its sum is not negative: the widest pair of rising prefix sums.
     """
     p = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - share, -share))])
     low = np.minimum.accumulate(p)
-    best, at = 0, 0
+    best = 0
     for end in range(len(p) - 1, 0, -1):
         if end <= best:
             break
-        k = int(np.searchsorted(-low, -(p[end] + 1e-9)))
-        if k < end and end - k > best:
-            best, at = end - k, k
+        best = max(best, end - int(np.searchsorted(-low, -(p[end] + 1e-9))))
+    ups = np.concatenate([[0], np.cumsum(same)])
+    at = int(np.argmax(ups[best:] - ups[: len(ups) - best]))
     return at, at + best
 
 
 def _verify(min_words: int, min_share: float):
+    """A text, then its candidates; rows in order of (doc, th, role)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, words = None, None
         for batch in batches:
             out: list[tuple] = []
-            for doc, start, words, item, item_words, diagonal in zip(*(batch.column(c) for c in ("doc", "start", "words", "item", "item_words", "diagonal"))):
-                a, b, d = words.values.to_numpy(), item_words.values.to_numpy(), diagonal.as_py()
-                lo, hi = max(0, -d), min(len(b), len(a) - d)
-                same = a[lo + d : hi + d] == b[lo:hi]
+            for doc, th, role, text, item, item_words, d in zip(*batch.columns):
+                own = (doc.as_py(), th.as_py())
+                if role.as_py() == 0:
+                    if own != key:
+                        key, words = own, hashed(alnum_words(text.as_py())).view(np.int64)
+                    continue
+                d, b = d.as_py(), item_words.values.to_numpy()
+                lo, hi = max(0, -d), min(len(b), len(words) - d)
+                same = words[lo + d : hi + d] == b[lo:hi]
                 x, y = _best(same, min_share)
-                if y - x >= min(min_words, len(b)):
-                    out.append((doc.as_py(), item.as_py(), start.as_py() + d + lo + x, lo + x, y - x, int(same[x:y].sum())))
+                if y > x and y - x >= min(min_words, len(b)):
+                    out.append((own[0], item.as_py(), d + lo + x, lo + x, y - x, int(same[x:y].sum())))
             if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_same"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_same"])
 
     return run
 
@@ -145,21 +188,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     """(doc_id, item_id, doc_word, item_word, n_words, n_same): the longest overlap of each pair that has one."""
     spark = docs.sparkSession
     ship(spark)
-    bench = table(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(_seeds, "item long, item_words array<long>, at array<int>, seed array<long>"))
-    seeds = bench.select("item", F.explode(F.arrays_zip(F.col("at").alias("pos"), "seed")).alias("s")).select("item", "s.pos", "s.seed")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).select("item", F.xxhash64("text").alias("ik"), "text")
+    bench = table(items.mapInArrow(_item_words, "item long, ik long, item_words array<long>"))
+    lengths = [r[0] for r in bench.select(F.size("item_words").alias("n")).filter(f"n > 0 and n < {SHORT}").distinct().collect()]  # at most SHORT numbers
+    masks = masks_for(lengths, min_share)
+    seeds = table(bench.mapInArrow(_seeds(masks), "item long, ik long, pos long, seed long"))
     count = seeds.count()
-    bits = min(max(BITS[0], (64 * count).bit_length()), BITS[1])
-    low = (1 << bits) - 1
-    places = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(low), F.shiftrightunsigned("seed", 32).bitwiseAND(low))).alias("bit"))
-    filled = places.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v"))
-    words = np.array([(r.w, r.v) for r in filled.collect()], np.int64).reshape(-1, 2)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    regions = table(rows.mapInArrow(_regions(bits, words), "region long, doc long, start long, words array<long>, at array<int>, seed array<long>"))
-    hits = regions.select("region", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("region", "h.at", "h.seed")
+    bits, filled = _filter(seeds, count)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    places = rows.mapInArrow(_places(masks, bits, spark.sparkContext.broadcast(filled)), "doc long, th long, at long, seed long")
     small = F.broadcast if count <= BROADCAST_SEEDS else (lambda df: df)
-    found = hits.join(small(seeds), "seed").select("region", "item", (F.col("at") - F.col("pos")).alias("diagonal")).distinct()
-    pairs = found.join(regions.select("region", "doc", "start", "words"), "region").join(small(bench.select("item", "item_words")), "item")
-    checked = pairs.mapInArrow(_verify(min_words, min_share), "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long")
+    found = table(places.join(small(seeds), "seed").select("doc", "th", "item", "ik", (F.col("at") - F.col("pos")).alias("d")).distinct())
+    held = found.select(F.col("doc").alias("d2"), F.col("th").alias("t2")).distinct()
+    texts = rows.join(held, rows.doc.eqNullSafe(held.d2) & (rows.th == held.t2), "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = texts.select("doc", "th", F.lit(0).alias("role"), "text", none("long").alias("item"), none("array<long>").alias("item_words"), none("long").alias("d"))
+    words = bench.select("ik", "item_words").dropDuplicates(["ik"])
+    tried = found.join(small(words), "ik").select("doc", "th", F.lit(1).alias("role"), none("string").alias("text"), "item", "item_words", "d")
+    dealt = heads.union(tried).repartition(partitions(spark), "doc", "th").sortWithinPartitions("doc", "th", "role")
+    checked = dealt.mapInArrow(_verify(min_words, min_share), "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long")
     best = F.max(F.struct("n_words", "n_same", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.d")).alias("doc_word"), (-F.col("b.i")).alias("item_word"), "b.n_words", "b.n_same")
 
