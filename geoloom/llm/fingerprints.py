@@ -20,8 +20,9 @@ small however many samples there are.
 Defined results: a null text counts as empty. A text without words has a fingerprint
 of its own kind, like only to others without words. Ids are ordered with null below
 all others and ties by text; rows that repeat entirely are one document in that
-order and each get its result. A document alone is its own next. Other columns are
-ignored.
+order and each get its result. A document alone is its own next. Very long texts are
+worked on whole. An empty table gives no rows. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .licenses import words
 
 SAMPLES = 64
 #: Samples that one aggregation row makes.
-PART = 16
+PART = 8
 _NO_ID = -(2**63)
 
 
@@ -127,19 +128,19 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     ids = rows.groupBy("doc", "th").agg(F.first(F.char_length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("times"), F.first("anon").alias("anon"))
     placed = table(neighbours(ids, ["doc", "th"]))
 
-    texts = rows.select("doc", "th", "text")
+    # one row a text, however often it repeats; sort-merge joins that keep its partitioning, so that all can spill
+    texts = rows.select("doc", "th", "text").dropDuplicates(["doc", "th"])
     give = placed.select("doc", "th", F.col("last.doc").alias("to_doc"), F.col("last.th").alias("to_th"), F.floor(F.col("last.n") / 3).cast("int").alias("need"))
-    heads = texts.join(give.hint("shuffle_hash"), ["doc", "th"]).select(F.col("to_doc").alias("doc"), F.col("to_th").alias("th"), F.expr("substring(text, 1, need)").alias("head"))
-    heads = heads.groupBy("doc", "th").agg(F.first("head").alias("head"))
-    about = placed.select("doc", "th", "n", "times")
-    both = texts.join(about.hint("shuffle_hash"), ["doc", "th"]).join(heads.hint("shuffle_hash"), ["doc", "th"])
+    heads = texts.join(give.hint("merge"), ["doc", "th"]).select(F.col("to_doc").alias("doc"), F.col("to_th").alias("th"), F.expr("substring(text, 1, need)").alias("head"))
+    about = placed.select("doc", "th", "n")
+    both = texts.join(about.hint("merge"), ["doc", "th"]).join(heads.hint("merge"), ["doc", "th"])
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n - floor(n / 3) as int)), head)"))
-    shas = both.select("doc", "th", F.sha2("edited", 256).alias("sha")).distinct()
-    split = both.select("doc", "th", "times", words(F.col("text")).alias("a"), words(F.col("edited")).alias("b"))
-    each = split.select("doc", "th", "times", F.size("a").alias("na"), F.posexplode_outer(F.concat("a", "b")).alias("pos", "w"))
+    shas = both.select("doc", "th", F.sha2("edited", 256).alias("sha"))
+    split = both.select("doc", "th", words(F.col("text")).alias("a"), words(F.col("edited")).alias("b"))
+    each = split.select("doc", "th", F.size("a").alias("na"), F.posexplode_outer(F.concat("a", "b")).alias("pos", "w"))
     counted = each.groupBy("doc", "th", "w").agg(
-        (F.sum(F.when(F.col("pos") < F.col("na"), 1).otherwise(0)) / F.max("times")).alias("n1"),
-        (F.sum(F.when(F.col("pos") >= F.col("na"), 1).otherwise(0)) / F.max("times")).alias("n2"),
+        F.count(F.when(F.col("pos") < F.col("na"), 1)).alias("n1"),
+        F.count(F.when(F.col("pos") >= F.col("na"), 1)).alias("n2"),
     ).withColumn("h", F.xxhash64("w"))
     marked = samples(counted, ["doc", "th"], {"one": "n1", "two": "n2"}, n)
     done = table(marked.join(shas, ["doc", "th"]))
