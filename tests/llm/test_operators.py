@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -91,9 +92,9 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
             i += rng.randint(1, 3)
     rows += [(9000, None), (9001, ""), (9002, " \n\t"), (9003, "one"), (9004, "ONE"), (9005, "one "), rows[0], rows[0]]
     want = exact_groups(rows)
-    for small in (16, 3):
-        monkeypatch.setattr(minhash, "SMALL", small)
-        got = minhash.groups(frame(spark, [*rows, (None, "one")])).collect()
+    for block in (512, 4):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.groups(frame(spark, [*rows, (None, "one")]), percent=85).collect()
         assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
         assert [r.kept for r in got if r.doc_id is None] == [True] and len(got) == len(rows) + 1
         assert all(r.kept == (r.doc_id == want[r.doc_id]) for r in got if r.doc_id is not None)
@@ -169,6 +170,53 @@ def test_masks_find_two_substitutions():
         assert any(all(o + k not in gone for k, c in enumerate(m) if c == "1") for m in decontam.MASKS for o in range(13 - len(m)))
 
 
+def longest_overlaps(rows, items, min_words=12, share=0.8):
+    """Every diagonal of every pair, word by word."""
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    best = {}
+    for i, t in rows:
+        a = split(t)
+        for j, u in items:
+            b = split(u)
+            for d in range(-len(b), len(a)):
+                lo, hi = max(0, -d), min(len(b), len(a) - d)
+                same = [a[k + d] == b[k] for k in range(lo, hi)]
+                ups = np.concatenate([[0], np.cumsum(same)]).astype(int)
+                if not len(b) or ups[-1] < share * min(min_words, len(b)) - 1e-9:
+                    continue
+                for n in range(hi - lo, min(min_words, len(b)) - 1, -1):
+                    fits = [(n, int(ups[x + n] - ups[x]), -(lo + d + x), -(lo + x)) for x in range(hi - lo - n + 1) if ups[x + n] - ups[x] >= share * n - 1e-9]
+                    if fits:
+                        best[i, j] = max(best.get((i, j), fits[0]), fits[0])
+                        break
+    return {k: (-v[2], -v[3], v[0], v[1]) for k, v in best.items()}
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(16)
+    pool = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [(k, " ".join(text(n))) for k, n in enumerate([200, 40, 15, 12, 1, 3, 6, 7, 10, 11])] + [(20, ""), (21, None), (None, " ".join(text(30)))]
+    rows = []
+    for i in range(70):
+        w = text(rng.randint(0, 60))
+        of = items[rng.choice([0, 1, 2, 3, 5, 6, 7, 8, 9, 12])][1].split()
+        lo = rng.randrange(len(of)) if len(of) > 30 else 0
+        part = of[lo : lo + rng.randint(20, 200)]
+        for _ in range(rng.choice([0, 0, 1, 2, len(part) // 6])):
+            if len(part) > 5:
+                part[rng.randrange(len(part))] = "changed"
+        at = rng.randint(0, len(w))
+        rows.append((i, " ".join(w[:at] + part + w[at:])))
+    long = items[0][1].split()
+    rows += [(100, " ".join(long[:160] + ["other"] * 40)), (101, " ".join(["x"] * 9 + long[:80] + ["y"] * 30 + long[110:])), (102, None), (103, ""), (None, items[1][1]), rows[3], rows[3], (5, items[2][1])]
+    bench = spark.createDataFrame([(k, t, "x", 1) for k, t in items], "item_id long, text string, item string, seed int")
+    got = decontam.overlaps(frame(spark, rows), bench).collect()
+    found = {(r.doc_id, r.item_id): (r.doc_word, r.item_word, r.n_words, r.n_same) for r in got}
+    assert found == longest_overlaps(rows, items) and len(got) == len(found) and found[100, 0] == (0, 0, 200, 160)
+    assert {(None, 1), (5, 2)} <= set(found) and {j for _, j in found} >= {0, 1, 2, 3, 5, 6, 7, 8, 9, None}
+
+
 # -- licenses
 
 
@@ -184,7 +232,7 @@ def test_licenses(spark):
     assert by[(1, 10)][2:7] == (2, 1, 6, "mit", "mit") and by[(1, 3)][2:7] == (1, 0, 0, "cc-by-nc", "cc-by-nc")
     assert by[(2, 9)][2:7] == (2, 0, 6, "apache-2,cc-by-nc", "apache-2,cc-by-nc")
     assert by[(3, 7)][2:7] == (0, None, None, "", "mit") and by[(4, 6)][5:7] == ("", "") and by[(5, 0)][2:] == (0, None, None, "", "", 0.0)
-    assert by[(8, 50_003)][2:5] == (1, 50_000, 50_000) and by[(9, 6)][5:7] == ("", "gpl") and by[(7, 5)][2] == 0
+    assert by[(8, 50_003)][2:5] == (1, 50_000, 50_000) and by[(9, 6)][5:7] == ("", "gpl") and by[(7, 6)][2] == 0  # U+212A is a letter and a word of its own
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
@@ -297,9 +345,52 @@ def test_shards(spark, tmp_path):
     assert first == 1 and last > 1 and len(entries) < before and sum(r.rows for r in entries) == 1000
     want = sorted(map(str, docs.collect()))
     assert sorted(map(str, store.read().select(*docs.columns).collect())) == want == sorted(map(str, store.read(1).select(*docs.columns).collect()))
-    assert store.vacuum() >= before and sorted(map(str, store.read().select(*docs.columns).collect())) == want
+    assert store.vacuum() == 0 and store.vacuum(keep=1, older_than=0) >= before and sorted(map(str, store.read().select(*docs.columns).collect())) == want
+    with pytest.raises(FileNotFoundError):  # an old version whose shards are gone is no shorter version
+        store.read(1)
     store.append(docs.limit(0))
     store.append(docs.limit(10))
     assert store.read().count() == 1010 and sum(r.rows for r in store.manifest().collect()) == 1010
     with pytest.raises(Exception, match="exist"):  # another writer has taken the number
-        store._commit(store.manifest(), store.version() - 1)
+        store._commit(store.manifest(), store.version() - 1, docs.schema)
+    with pytest.raises(ValueError, match="not struct"):
+        store.append(docs.withColumn("bytes", F.lit("x")))
+    store.append(docs.select("bytes", "shard", "text", "doc_id").limit(1))
+    assert store.read().count() == 1011
+
+
+def test_shards_vacuum_beside_an_append(spark, tmp_path):
+    store = shards.ShardStore(spark, "file://" + str(tmp_path / "s"), small_rows=5)
+    docs = spark.range(10).selectExpr("id AS doc_id", "repeat('x', 3) AS text")
+    store.append(docs)
+    commit = store._commit
+
+    def late(*args):
+        assert shards.ShardStore(spark, store.path).vacuum() == 0
+        return commit(*args)
+
+    store._commit = late
+    assert store.append(docs) == 2 and store.read().count() == 20
+    store._commit = lambda *args: (shards.ShardStore(spark, store.path).vacuum(older_than=0), commit(*args))
+    with pytest.raises(Exception, match="exist|gone"):  # what is gone is not committed
+        store.append(docs)
+    assert store.version() == 2 and store.read().count() == 20
+
+
+def test_shards_keep_the_version_before(spark, tmp_path):
+    store = shards.ShardStore(spark, "file://" + str(tmp_path / "s"), target_bytes=1 << 20, fanout=2, small_rows=5)
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('x', 3) AS text")
+    store.append(docs)
+    before = store.read()
+    assert store.compact() == 2 and store.vacuum(keep=2, older_than=0) == 0
+    assert before.count() == 40 and store.read(1).count() == 40 and store.read().count() == 40
+
+
+def test_shards_of_nothing(spark, tmp_path):
+    store = shards.ShardStore(spark, "file://" + str(tmp_path / "s"))
+    with pytest.raises(ValueError):
+        store.read()
+    docs = spark.range(0).selectExpr("id AS doc_id", "'x' AS text")
+    assert store.append(docs) == 1 and store.compact() is None and store.vacuum() == 0
+    assert store.read().columns == ["doc_id", "text"] and store.read().count() == 0
+    assert store.append(spark.range(3).selectExpr("id AS doc_id", "repeat('y', 2000000) AS text")) == 2 and store.read().count() == 3
