@@ -41,6 +41,14 @@ def parse_columns(decl: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Matches of a row that are melted together.
+MATCHES = 256
+
+
+def _strict(f: Callable, throw: bool) -> Callable:
+    return f.strict if throw else f
+
+
 @dataclass(frozen=True)
 class GeoFrame:
     df: DataFrame
@@ -137,9 +145,8 @@ class GeoFrame:
         return self._with(self.df.withColumn(column, F.expr(expr)))
 
     def assign_uid(self, column: str = "uid") -> "GeoFrame":
-        """A unique number a row: partition times 100,000,000 plus a running number; gaps occur."""
-        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-        return self._with(self.df.withColumn(column, F.spark_partition_id().cast("long") * 100_000_000 + row))
+        """A unique number a row, rising within each partition; gaps occur. A partition may have 2^33 rows."""
+        return self._with(self.df.withColumn(column, F.monotonically_increasing_id()))
 
     def fill_na(self, columns: str | Sequence[str], value: Any) -> "GeoFrame":
         return self._with(self.df.na.fill(value, _csv(columns)))
@@ -170,7 +177,10 @@ class GeoFrame:
         """
         geom, kind = self._geometry()
         if isinstance(key, GeoFrame):
-            key = bytes(key.df.select(key._wkb().alias("g")).filter("g is not null").first()[0])
+            found = key.df.select(key._wkb().alias("g")).filter("g is not null").first()
+            if found is None:  # a key without a geometry is related to nothing
+                return self if negated else self._with(self.df.filter(F.lit(False)))
+            key = bytes(found[0])
         from ..functions import kernel as k
 
         shape = k.from_wkb(key) if isinstance(key, (bytes, bytearray)) else k.box(*key)
@@ -214,8 +224,13 @@ class GeoFrame:
         self._geometry(), right._geometry()
         return _sjoin.pairs(self.df, self.geom, right.df, right.geom, relation, dist, **options), right
 
-    def spatial_join(self, right: "GeoFrame", output: str = "left.*", relation: str = "intersects", dist: float = 0.0, broadcast: bool | None = None) -> "GeoFrame":
-        """A row for each related pair, once."""
+    def spatial_join(self, right: "GeoFrame | Any", output: str = "left.*", relation: str = "intersects", dist: float = 0.0, broadcast: bool | None = None) -> "GeoFrame":
+        """A row for each related pair, once.
+
+        A clustered data set as the right side is read in the tiles alone that the left side meets (which runs a job).
+        """
+        if not isinstance(right, GeoFrame):
+            right = right.near(self, dist)
         found, _ = self._pairs(right, relation, dist, broadcast=broadcast)
         picked = _select.parse(output, {"left": self.columns, "right": right.columns})
         out = found.select(*[F.col(f"{s.namespace[0]}_row.`{s.column}`").alias(s.alias) for s in picked])
@@ -246,7 +261,18 @@ class GeoFrame:
         slim = GeoFrame(left.df.select("__uid", left.geom), left.geom, left.srid)
         found, _ = slim._pairs(GeoFrame(right.df.select(right.geom), right.geom, right.srid), "intersects", 0.0)
         other = st.wkb(F.col(f"r_row.`{right.geom}`"), right.schema[right.geom].dataType)
-        lists = found.select(F.col("l_row.__uid").alias("__u"), other.alias("g")).groupBy("__u").agg(F.collect_list("g").alias("__others"))
+        each = found.select(F.col("l_row.__uid").alias("__u"), other.alias("g"))
+        # a row with very many matches gets their unions by parts, so that no task gathers them all
+        counts = each.groupBy("__u").agg(F.ceil(F.count(F.lit(1)) / MATCHES).alias("__parts"))
+        dealt = each.join(counts, "__u").withColumn("__part", F.expr("pmod(xxhash64(g), __parts)"))
+        parts = dealt.groupBy("__u", "__parts", "__part").agg(F.collect_list("g").alias("gs"))
+
+        @F.pandas_udf(T.ArrayType(T.BinaryType()))
+        def melted(v: pd.Series) -> pd.Series:
+            return pd.Series([[k.to_wkb(st._union_of(st._read(gs)))] for gs in v])
+
+        parts = parts.filter("__parts = 1").select("__u", "gs").union(parts.filter("__parts > 1").select("__u", melted("gs").alias("gs")))
+        lists = parts.groupBy("__u").agg(F.flatten(F.collect_list("gs")).alias("__others"))
         both = left.df.join(lists, left.df["__uid"] == lists["__u"], "left" if keep_unmatched else "inner")
 
         @F.pandas_udf(T.BinaryType())
@@ -256,7 +282,7 @@ class GeoFrame:
                 if g is None or hs is None or not len(hs):
                     out.append(g)
                     continue
-                v = f(k.from_wkb(bytes(g)), [k.from_wkb(bytes(h)) for h in hs])
+                v = f(k.from_wkb(bytes(g)), st._read(hs))
                 out.append(None if v is None or v.empty else k.to_wkb(v))
             return pd.Series(out, dtype=object)
 
@@ -286,8 +312,8 @@ class GeoFrame:
     def aggregate_by_group(self, group: Group | str, *aggs: Agg, tags: str | None = None) -> "GeoFrame":
         """Keys, tags (from any row of the group) and aggregates.
 
-        Hulls and unions are made in two steps, of parts and then of the parts'
-        results, so a large group is not gathered in one piece.
+        Hulls and unions are made within each task, then of parts of the tasks' results
+        and then of the parts', so a large group is not gathered in one piece.
         """
         g = Group.of(group, tags)
         slow = [a for a in aggs if a.kind in SPATIAL]
@@ -307,7 +333,7 @@ class GeoFrame:
             ship(df.sparkSession)
             f = st.hull_agg if a.kind == "convex_hull" else st.union_agg
             w = st.wkb(F.col(f"`{a.column}`"), df.schema[a.column].dataType)
-            rows = df.select(*keys, w.alias("__g"), (F.xxhash64(w) % 64).alias("__s")).filter("__g is not null")
+            rows = st.partials(df.select(*keys, w.alias("__g")).filter("__g is not null"), a.kind).withColumn("__s", F.xxhash64("__g") % 64)
             first = rows.groupBy(*g.keys, "__s").agg(f(F.col("__g")).alias("__g"))
             made = first.groupBy(*g.keys).agg(f(F.col("__g")).alias(a.output))
             if g.keys:
@@ -357,15 +383,19 @@ class GeoFrame:
         out = self.df.withColumn(name, value)
         return GeoFrame(out, name, self.srid)
 
-    def buffer(self, dist: float | str, output: str | None = None) -> "GeoFrame":
-        """All within a distance, or within a column's value."""
+    def buffer(self, dist: float | str, output: str | None = None, throw_op_error: bool = False) -> "GeoFrame":
+        """All within a distance, or within a column's value.
+
+        A geometry for which the operation fails becomes NULL, here and in the
+        methods below, unless ``throw_op_error``.
+        """
         if not isinstance(dist, str) and dist <= 0:
             raise ValueError("a buffer's distance is positive")
         d = F.col(f"`{dist}`").cast("double") if isinstance(dist, str) else F.lit(float(dist))
-        return self._mapped(st._buffer(self._wkb(), d), output)
+        return self._mapped(_strict(st._buffer, throw_op_error)(self._wkb(), d), output)
 
-    def centroid(self, inside: bool = False, output: str | None = None) -> "GeoFrame":
-        return self._mapped((st._interior if inside else st._centroid)(self._wkb()), output)
+    def centroid(self, inside: bool = False, output: str | None = None, throw_op_error: bool = False) -> "GeoFrame":
+        return self._mapped(_strict(st._interior if inside else st._centroid, throw_op_error)(self._wkb()), output)
 
     def to_point(self, x: str, y: str, output: str = "the_geom", srid: str | None = None) -> "GeoFrame":
         """A native point of two columns of numbers or numeric strings."""
@@ -375,7 +405,7 @@ class GeoFrame:
         """A native envelope of four columns."""
         return GeoFrame(self.df.withColumn(output, st.box_of(*(F.col(f"`{c}`") for c in (xmin, xmax, ymin, ymax)))), output, srid or self.srid)
 
-    def transform_crs(self, srid: str, transform: Callable | None = None) -> "GeoFrame":
+    def transform_crs(self, srid: str, transform: Callable | None = None, throw_op_error: bool = False) -> "GeoFrame":
         """Between EPSG:4326 and EPSG:3857, or by a function of coordinate arrays (x, y)."""
         if srid == self.srid:
             return self
@@ -410,14 +440,22 @@ class GeoFrame:
                     return k.Geom(g.kind, [np.column_stack(move(c[:, 0], c[:, 1])) for c in g.parts])
                 return k.Geom(g.kind, [moved(m) for m in g.parts])
 
+            def one(b):
+                try:
+                    return None if b is None else k.to_wkb(moved(k.from_wkb(bytes(b))))
+                except Exception:
+                    if throw_op_error:
+                        raise
+                    return None
+
             @F.pandas_udf(T.BinaryType())
             def run(v: pd.Series) -> pd.Series:
-                return pd.Series([None if b is None else k.to_wkb(moved(k.from_wkb(bytes(b)))) for b in v], dtype=object)
+                return pd.Series([one(b) for b in v], dtype=object)
 
             value = run(self._wkb())
         return GeoFrame(self.df.withColumn(self.geom, value), self.geom, srid)
 
-    def intersection(self, other: str, output: str | None = None) -> "GeoFrame":
+    def intersection(self, other: str, output: str | None = None, throw_op_error: bool = False) -> "GeoFrame":
         """Row by row with another geometry column; native for two envelopes."""
         geom, kind = self._geometry()
         right = self.df.schema[other].dataType
@@ -425,7 +463,7 @@ class GeoFrame:
         if kind == st.ENVELOPE and right == st.ENVELOPE:
             common = st.box_of(F.greatest(geom["xmin"], o["xmin"]), F.least(geom["xmax"], o["xmax"]), F.greatest(geom["ymin"], o["ymin"]), F.least(geom["ymax"], o["ymax"]))
             return self._mapped(F.when(st.envelopes_meet(geom, o), common), output)
-        return self._mapped(st._intersection(self._wkb(), st.wkb(o, right)), output)
+        return self._mapped(_strict(st._intersection, throw_op_error)(self._wkb(), st.wkb(o, right)), output)
 
     def assign_grid_cell(self, grid: _grid.SquareGrid, assign_outside: bool = False) -> "GeoFrame":
         self._geometry()
@@ -464,7 +502,7 @@ class GeoFrame:
 
     def partition_by_quad_key(self, keys: list[str] | None = None, ratio: float = 1.0, cluster_bytes: float = 64 << 20, bind_outlier: bool = True, count: int | None = None) -> "GeoFrame":
         keys = keys or self.estimate_quad_keys(ratio, None, cluster_bytes)
-        return self._with(_quad.partition(self.attach_quad_key(keys, None, bind_outlier).df, count or max(1, len(keys))))
+        return self._with(_quad.partition(self.attach_quad_key(keys, None, bind_outlier).df, keys, count or len(keys) + 1))
 
     def split_to_pair(self, keys: str) -> tuple[list[str], list[str]]:
         """Names of the key columns and of the others."""
@@ -508,4 +546,5 @@ class GeoFrame:
         return self._with(self.df.coalesce(n))
 
     def broadcast(self) -> "GeoFrame":
-        return self._with(F.broadcast(self.df))
+        """Marked for broadcast joins, if Catalyst's estimate of its size allows that."""
+        return self._with(F.broadcast(self.df)) if _sjoin.estimated_bytes(self.df) <= _sjoin.FORCED_BYTES else self

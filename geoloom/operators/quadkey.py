@@ -51,10 +51,11 @@ def bounds(key: str) -> tuple[float, float, float, float]:
     return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
 
 
-def attach(df: DataFrame, geom: str, keys: list[str], valid: tuple[float, float, float, float] | None = None, bind_outlier: bool = True, owner_only: bool = False) -> DataFrame:
+def attach(df: DataFrame, geom: str, keys: list[str], valid: tuple[float, float, float, float] | None = None, bind_outlier: bool = True, owner_only: bool = False, tiles: str | None = None) -> DataFrame:
     """df with ``quad_key`` and ``mbr``: a row for each key's tile that the geometry's envelope meets.
 
-    With ``owner_only`` just the first such key in order. Rows that meet no key (or
+    With ``owner_only`` just the first such key in order; ``tiles`` names a column for
+    all of the row's keys. Rows that meet no key (or
     lie beyond ``valid``, or have no geometry) get the key ``outlier``, or go. The
     keys are a partitioning's list, so they are a literal that is matched in the row.
     """
@@ -72,6 +73,8 @@ def attach(df: DataFrame, geom: str, keys: list[str], valid: tuple[float, float,
         names = F.slice(names, 1, 1)
     names = F.when(inside, names)
     names = F.when(names.isNull() | (F.size(names) == 0), F.array(F.lit(OUTLIER)) if bind_outlier else F.array().cast("array<string>")).otherwise(names)
+    if tiles:
+        out, names = out.withColumn(tiles, names), F.col(tiles)
     return out.withColumn("quad_key", F.explode(names))
 
 
@@ -101,6 +104,12 @@ def estimate(df: DataFrame, geom: str, ratio: float = 1.0, valid: tuple[float, f
     return sorted(leaves)
 
 
-def partition(df: DataFrame, count: int) -> DataFrame:
-    """Rows dealt by ``quad_key``; a hot key's rows can be dealt again by AQE's skew handling."""
-    return df.repartition(count, "quad_key")
+def partition(df: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Rows dealt by ``quad_key`` in the keys' order: neighbours lie in the same partition or the next, outliers in the last."""
+    order = sorted(k for k in keys if k != OUTLIER)
+    last = max(1, count - 1)
+    place = {k: min(last - 1, i * last // max(1, len(order))) for i, k in enumerate(order)}
+    if count < 2 or not place:
+        return df.repartition(1)
+    at = F.element_at(F.create_map(*[F.lit(v) for kv in place.items() for v in kv]), F.col("quad_key"))
+    return df.repartitionById(count, F.coalesce(at, F.lit(count - 1)))

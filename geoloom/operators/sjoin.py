@@ -23,8 +23,8 @@ from ..functions import st
 MAX_CELLS = 64
 #: Levels of cells, each 8 times as wide as the one before.
 LEVELS = 6
-#: Sides up to this many bytes, by Catalyst's estimate, are broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Right sides whose rows, once for each cell, have up to so many bytes are broadcast; the second where that is asked for.
+BROADCAST_BYTES, FORCED_BYTES = 32 << 20, 256 << 20
 
 
 def _prepared(df: DataFrame, geom: str, side: str, grow: float = 0.0) -> DataFrame:
@@ -58,10 +58,22 @@ def _cells(df: DataFrame, side: str, size: float, top: int) -> DataFrame:
     return out.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
 
-def _bytes(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _measured(prepared: DataFrame, df: DataFrame, side: str, size: float) -> tuple[int, float]:
+    """A side's coarsest level, and at most so many bytes that its rows have, once for each cell. One job."""
+    wide = F.lit(size) * F.pow(F.lit(8.0), F.col(f"{side}_level"))
+    span = lambda a: F.floor(F.col(f"{side}_{a}max") / wide) - F.floor(F.col(f"{side}_{a}min") / wide) + 1
+    long = [F.coalesce(F.octet_length(F.col(f"{side}_row.`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    row = sum(long, F.lit(64 + 16 * len(df.columns)))
+    cells = span("x") * span("y") * LEVELS  # no coarser level has more
+    r = prepared.agg(F.max(f"{side}_level"), F.sum((cells * row).cast("double"))).first()
+    return r[0] or 0, r[1] or 0.0
+
+
 def pairs(left: DataFrame, lgeom: str, right: DataFrame, rgeom: str, relation: str = "intersects", dist: float = 0.0, size: float | None = None, broadcast: bool | None = None) -> DataFrame:
     """(l_row, r_row): each pair of rows that are related, once; null and empty geometries match nothing."""
     plain = [df.schema[g].dataType == st.POINT for df, g in ((left, lgeom), (right, rgeom))]
@@ -69,11 +81,11 @@ def pairs(left: DataFrame, lgeom: str, right: DataFrame, rgeom: str, relation: s
     grow = dist if relation == "within_distance" else 0.0
     rows = [_prepared(left, lgeom, "l", grow), _prepared(right, rgeom, "r")]
     rows = [r.withColumn(f"{k}_level", _level(k, size)) for r, k in zip(rows, "lr")]
-    top = max([0, *(r.agg(F.max(f"{k}_level")).first()[0] or 0 for r, k, p in zip(rows, "lr", plain) if not p or grow)])
+    right_top, right_bytes = _measured(rows[1], right, "r", size)
+    left_top = 0 if plain[0] and not grow else rows[0].agg(F.max("l_level")).first()[0] or 0
+    top = max(left_top, right_top)
     l_cells, r_cells = (_cells(r, k, size, top) for r, k in zip(rows, "lr"))
-    if broadcast is None:
-        broadcast = _bytes(right) <= BROADCAST_BYTES
-    if broadcast:
+    if broadcast is not False and right_bytes <= (FORCED_BYTES if broadcast else BROADCAST_BYTES):
         r_cells = F.broadcast(r_cells)
     s = F.lit(size) * F.pow(F.lit(8.0), F.col("level"))
     meet = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))

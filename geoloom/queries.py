@@ -12,7 +12,8 @@ from .operators import quadkey
 from .operators.frame import GeoFrame
 from .operators.grid import SquareGrid, shared_area
 from .plans import aggregate as agg
-from .runtime import ship
+from .runtime import scratch, ship
+from .sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,11 +379,17 @@ def quadkey_of(spark: SparkSession, d: str) -> DataFrame:
     return g.select("id", quadkey.quad_key(quadkey.tile_x(F.col("the_geom.x"), 10), quadkey.tile_y(F.col("the_geom.y"), 10), 10).alias("quad_key"))
 
 
-@query(f"SELECT substr({_KEY}, 1, 2) AS quad_key, count(*) AS n FROM ({_TILE}) WHERE id IN (SELECT event_id FROM events WHERE (event_id * 104729) % 17000 <> 8500 AND ((user_id * 7919) % 36000) % 9000 <> 0) GROUP BY 1")
+_LON, _LAT = "(((user_id * 7919) % 36000) / 100.0 - 180)", "(((event_id * 104729) % 17000) / 100.0 - 85)"
+_BOUNDS = ", ".join("('{}', {!r}, {!r}, {!r}, {!r})".format(k, *quadkey.bounds(k)) for k in (a + b for a in "0123" for b in "0123"))
+
+
+@query(f"SELECT quad_key, count(*) AS n, count_if(quad_key = owner) AS owned FROM (SELECT t.k AS quad_key, min(t.k) OVER (PARTITION BY event_id) AS owner FROM events JOIN (VALUES {_BOUNDS}) t(k, a, b, c, d) ON {_LON} BETWEEN a AND c AND {_LAT} BETWEEN b AND d) GROUP BY quad_key")
 def quadkey_attach(spark: SparkSession, d: str) -> DataFrame:
+    """Every tile that a place meets, two and more on edges, and the first one as its owner."""
     keys = [a + b for a in "0123" for b in "0123"]
-    # places on the tiles' edges meet two tiles; the first owns them
-    return event_places(spark, d).filter_sql("y <> 0 AND x % 90 <> 0").attach_quad_key(keys, owner_only=True).df.groupBy("quad_key").agg(F.count(F.lit(1)).alias("n"))
+    f = event_places(spark, d)
+    all_, own = (f.attach_quad_key(keys, owner_only=o).df.groupBy("quad_key").agg(F.count(F.lit(1)).alias(n)) for o, n in ((False, "n"), (True, "owned")))
+    return all_.join(own, "quad_key", "left").na.fill(0, ["owned"])
 
 
 @query("SELECT count(*) AS rows, true AS bounded FROM events")
@@ -437,20 +444,24 @@ def anti_join(spark: SparkSession, d: str) -> DataFrame:
     return customer_points(spark, d).spatial_semi_join(supplier_boxes(spark, d), negated=True).project("id, x").df
 
 
-@query(f"WITH a AS ({NBOX}), b AS ({SBOX}) SELECT a.id, round(400 - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 4) AS area FROM a, b WHERE b.id = 1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 UNION ALL SELECT a.id, 400.0 FROM a, b WHERE b.id = 1 AND NOT (a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
-def difference_join(spark: SparkSession, d: str) -> DataFrame:
-    f = nation_boxes(spark, d).difference_join(supplier_boxes(spark, d).filter_sql("id = 1"))
-    return f.df.select("id", F.round(st.BY_NAME["ST_Area"](f._wkb()), 4).alias("area"))
+#: Each district's area that any service area covers, by cutting it at all their edges.
+COVERED = f"""WITH a AS ({NBOX}), b AS ({SBOX}),
+o AS (SELECT a.id, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1, greatest(a.y0, b.y0) AS y0, least(a.y1, b.y1) AS y1 FROM a JOIN b ON {OVER}),
+xs AS (SELECT id, x, lead(x) OVER (PARTITION BY id ORDER BY x) AS x2 FROM (SELECT id, x0 AS x FROM o UNION SELECT id, x1 FROM o)),
+ys AS (SELECT id, y, lead(y) OVER (PARTITION BY id ORDER BY y) AS y2 FROM (SELECT id, y0 AS y FROM o UNION SELECT id, y1 FROM o)),
+c AS (SELECT xs.id, sum((x2 - x) * (y2 - y)) AS area FROM xs JOIN ys ON xs.id = ys.id AND x2 > x AND y2 > y WHERE EXISTS (SELECT 1 FROM o WHERE o.id = xs.id AND o.x0 <= x AND x2 <= o.x1 AND o.y0 <= y AND y2 <= o.y1) GROUP BY xs.id)"""
 
 
-@query()
-def difference_join_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"{COVERED} SELECT a.id, round(400 - coalesce(c.area, 0), 4) AS area FROM a LEFT JOIN c ON a.id = c.id WHERE 400 - coalesce(c.area, 0) > 0.000001")
+def difference_join(spark: SparkSession, d: str) -> DataFrame:
+    """What no service area covers of each district; several overlap."""
     f = nation_boxes(spark, d).difference_join(supplier_boxes(spark, d))
     return f.df.select("id", F.round(st.BY_NAME["ST_Area"](f._wkb()), 4).alias("area"))
 
 
-@query()
+@query(f"{COVERED} SELECT o.id, round(coalesce(max(c.area), 0), 4) AS area FROM o LEFT JOIN c ON o.id = c.id GROUP BY o.id")
 def arc_clip(spark: SparkSession, d: str) -> DataFrame:
+    """What service areas cover of each district that meets any."""
     f = nation_boxes(spark, d).arc_clip(supplier_boxes(spark, d))
     return f.df.select("id", F.round(st.BY_NAME["ST_Area"](f._wkb()), 4).alias("area"))
 
@@ -461,6 +472,219 @@ def arc_buffer(spark: SparkSession, d: str) -> DataFrame:
     return f.df.select("FID", F.round(st.BY_NAME["ST_Area"](F.col("the_geom")), 4).alias("area"))
 
 
+@query(f"""WITH RECURSIVE b AS ({SBOX}), near AS (SELECT a.id AS a, b.id AS b FROM ({SBOX}) a JOIN b ON sqrt(greatest(b.x0 - a.x1, a.x0 - b.x1, 0) ** 2 + greatest(b.y0 - a.y1, a.y0 - b.y1, 0) ** 2) <= 0.002),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a)
+SELECT count(DISTINCT m) AS sets, (SELECT count(*) FROM b) AS boxes FROM (SELECT a, min(b) AS m FROM reach GROUP BY a)""")
+def arc_buffer_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Connected sets of narrow buffers."""
+    b = supplier_boxes(spark, d)
+    sets = b.arc_buffer(0.001, dissolve=True).df.agg(F.count_distinct("FID").alias("sets")).withColumn("k", F.lit(1))
+    return sets.join(b.df.agg(F.count(F.lit(1)).alias("boxes")).withColumn("k", F.lit(1)), "k").drop("k")
+
+
+# -- data sets
+
+
+def catalog(spark: SparkSession) -> Catalog:
+    return Catalog(spark, scratch(spark, "catalog"))
+
+
+@query(f"{PTS} UNION ALL SELECT s_suppkey, s_acctbal / 100.0, 0.0 FROM supplier")
+def catalog_store(spark: SparkSession, d: str) -> DataFrame:
+    """Stored, appended to and read back."""
+    c, p = catalog(spark), customer_points(spark, d)
+    c.store(p, "poi/places")
+    more = table(spark, d, "supplier").df.selectExpr("s_suppkey AS id", "s_acctbal / 100D AS x", "0D AS y")
+    c.store(GeoFrame(more).to_point("x", "y"), "poi/places", append=True)
+    return c.get("poi/places").read().df.select("id", "x", "y")
+
+
+@query(f"SELECT count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, 'FILE' AS type, true AS has_bytes, false AS indexed FROM ({PTS})")
+def catalog_info(spark: SparkSession, d: str) -> DataFrame:
+    """Count, bounds, type and size of a stored set."""
+    c = catalog(spark)
+    ds = c.store(customer_points(spark, d), "places")
+    b = ds.bounds
+    return spark.createDataFrame([(ds.count, *b, ds.info.type, ds.length() > 0, ds.has_spatial_index)], "n long, xmin double, xmax double, ymin double, ymax double, type string, has_bytes boolean, indexed boolean")
+
+
+@query("SELECT * FROM (VALUES ('a/b/three', 5, true), ('a/one', 5, true), ('two', 5, false)) t(id, n, in_a)")
+def catalog_list(spark: SparkSession, d: str) -> DataFrame:
+    """All sets, those of a folder, one that is not there, and a folder that goes."""
+    c, r = catalog(spark), table(spark, d, "region")
+    for id in ("two", "a/one", "a/b/three", "gone/four"):
+        c.store(r, id)
+    if c.get_or_none("nothing") is not None or c.delete_dir("gone") != ["gone/four"]:
+        raise AssertionError("a set that is not there was found")
+    in_a = {x.id for x in c.in_dir("a", True)}
+    return spark.createDataFrame([(x.id, x.count, x.id in in_a) for x in c.all()], "id string, n long, in_a boolean")
+
+
+@query(f"SELECT id, x, y FROM ({PTS}) WHERE x BETWEEN 10 AND 40 AND y BETWEEN 20 AND 70")
+def catalog_query(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in a range; the bounds go to the scan."""
+    c = catalog(spark)
+    return c.store(customer_points(spark, d), "places").query((10.0, 20.0, 40.0, 70.0)).df.select("id", "x", "y")
+
+
+TILES = [a + b for a in "0123" for b in "0123"]
+
+
+@query("SELECT id FROM (SELECT event_id AS id, ((user_id * 7919) % 36000) / 100.0 - 180 AS x, ((event_id * 104729) % 17000) / 100.0 - 85 AS y FROM events) WHERE x BETWEEN -90 AND 45 AND y BETWEEN -20 AND 50")
+def catalog_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """A clustered copy and a range query that reads the tiles it meets."""
+    c = catalog(spark)
+    ds = c.store(event_places(spark, d), "places").cluster("tiles", TILES)
+    return ds.query((-90.0, -20.0, 45.0, 50.0)).df.select("id")
+
+
+@query("SELECT count(*) AS owned, count(*) AS n, true AS more_in_all, true AS known FROM events")
+def catalog_cluster_info(spark: SparkSession, d: str) -> DataFrame:
+    """Each row is owned once; rows on edges lie in several tiles."""
+    c = catalog(spark)
+    ds = c.store(event_places(spark, d), "places").cluster("tiles", keys=TILES)
+    i = ds.spatial_index_info()
+    return spark.createDataFrame([(i["owned"], ds.read().count(), i["total"] >= i["owned"], set(ds.quad_keys()) <= set(TILES))], "owned long, n long, more_in_all boolean, known boolean")
+
+
+@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey")
+def catalog_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """A folder for each key."""
+    ds = catalog(spark).store_by_key(table(spark, d, "customer"), "by", "c_nationkey")
+    return ds.read().df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query(f"WITH p AS ({PTS} ), b AS ({SBOX}) SELECT b.id AS bid, count(*) AS n FROM b JOIN p ON {MEET} GROUP BY b.id")
+def catalog_join(spark: SparkSession, d: str) -> DataFrame:
+    """A join with a clustered set, of which only the tiles that the left side meets are read."""
+    c = catalog(spark)
+    p = customer_points(spark, d)
+    ds = c.store(GeoFrame(p.df, "the_geom", "EPSG:4326"), "places").cluster("tiles", TILES)
+    f = supplier_boxes(spark, d).spatial_join(ds, "left.{id as bid}")
+    return f.aggregate_by_group("bid", agg.count().alias("n")).df
+
+
+# -- operators and functions that the queries above leave out
+
+
+@query("SELECT true AS fair, true AS known, true AS again FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)")
+def sample_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """A sample has about its share of the rows, none twice, and the same ones for the same seed."""
+    o = table(spark, d, "orders")
+    s, t = (o.sample(0.1, 42).df.select("o_orderkey") for _ in range(2))
+    n, k = o.count(), s.count()
+    same = s.intersect(t).count() == k and s.distinct().count() == k
+    return spark.createDataFrame([(abs(k - n / 10) <= 5 * (n * 0.09) ** 0.5, s.subtract(o.df.select("o_orderkey")).count() == 0, same)], "fair boolean, known boolean, again boolean")
+
+
+@query("SELECT n_regionkey, round(sum(c) / 2, 4) AS area FROM (" + """WITH b AS (SELECT n_regionkey, (n_nationkey % 5) * 20.0::DOUBLE AS x0, floor(n_nationkey / 5.0) * 20.0::DOUBLE AS y0 FROM nation),
+pt AS (SELECT DISTINCT n_regionkey, x0 + dx AS x, y0 + dy AS y FROM b, (VALUES (0, 0), (0, 20), (20, 0), (20, 20)) v(dx, dy))
+SELECT p.n_regionkey, p.x * q.y - q.x * p.y AS c FROM pt p JOIN pt q ON p.n_regionkey = q.n_regionkey AND (p.x <> q.x OR p.y <> q.y)
+WHERE NOT EXISTS (SELECT 1 FROM pt r WHERE r.n_regionkey = p.n_regionkey AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0
+OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) > 0 AND (r.x - q.x) * (p.x - q.x) + (r.y - q.y) * (p.y - q.y) > 0)))""" + ") GROUP BY n_regionkey")
+def convex_hull_area(spark: SparkSession, d: str) -> DataFrame:
+    """The hull of each region's boxes, by its area."""
+    n = table(spark, d, "nation").df.select("n_nationkey", "n_regionkey")
+    b = nation_boxes(spark, d).df
+    f = GeoFrame(b.join(n, b.id == n.n_nationkey), "the_geom").aggregate_by_group("n_regionkey", agg.convex_hull("the_geom"))
+    return f.df.select("n_regionkey", F.round(st.BY_NAME["ST_Area"]("convex_hull"), 4).alias("area"))
+
+
+@query(f"SELECT id, true AS within, round((x1 - x0) * (y1 - y0), 6) AS hull, x0, y1 FROM ({SBOX})")
+def st_interior_hull_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """A point within, the hull's area and the envelope of boxes as WKB."""
+    ship(spark)
+    g = st.wkb(F.col("the_geom"), st.ENVELOPE)
+    b = supplier_boxes(spark, d).df.withColumn("g", g)
+    e = st.BY_NAME["ST_AsEnvelope"]("g")
+    b = b.select("id", st.BY_NAME["ST_Contains"](F.col("g"), st.BY_NAME["ST_InteriorPoint"]("g")).alias("within"), F.round(st.BY_NAME["ST_Area"](st.BY_NAME["ST_ConvexHull"]("g")), 6).alias("hull"), e.alias("e"))
+    return b.select("id", "within", "hull", F.col("e.xmin").alias("x0"), F.col("e.ymax").alias("y1"))
+
+
+@query(f"SELECT id, round(greatest(least(x1, 60) - greatest(x0, 40), 0) * greatest(least(y1, 60) - greatest(y0, 40), 0), 6) AS area FROM ({SBOX}) WHERE x0 <= 60 AND x1 >= 40 AND y0 <= 60 AND y1 >= 40")
+def frame_intersection(spark: SparkSession, d: str) -> DataFrame:
+    """Two geometry columns of a row, after a filter by WKB."""
+    from .functions import kernel as k
+
+    shape = k.to_wkb(k.box(40.0, 40.0, 60.0, 60.0))
+    f = supplier_boxes(spark, d).filter_spatial(shape)
+    f = GeoFrame(f.df.withColumn("fixed", F.lit(bytearray(shape))), "the_geom").intersection("fixed", "common")
+    return f.df.select("id", F.round(st.BY_NAME["ST_Area"]("common"), 6).alias("area"))
+
+
+@query(f"SELECT id, x, y FROM ({PTS}) WHERE x BETWEEN 0 AND 20 AND y BETWEEN 0 AND 20")
+def filter_by_frame(spark: SparkSession, d: str) -> DataFrame:
+    """By another frame's first geometry; a frame without one matches nothing."""
+    key = nation_boxes(spark, d).filter_sql("id = 0")
+    p = customer_points(spark, d)
+    none = p.filter_spatial(key.filter_sql("id < 0"))
+    return GeoFrame.union([p.filter_spatial(key), none]).df.select("id", "x", "y")
+
+
+@query("SELECT event_id AS id, round(111319.490793 * 2 * 2 * 111319.490793 / 1e6, 1) AS wide FROM events WHERE abs(((event_id * 104729) % 17000) / 100.0 - 85.0) < 0.000001")
+def transform_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes two degrees wide, to metres; the width is the same at any latitude."""
+    f = event_places(spark, d).filter_sql("abs(y) < 0.000001")
+    box = f.df.selectExpr("id", "x AS x0", "x + 2D AS x1")
+    e = GeoFrame(box.selectExpr("*", "0D AS y0", "1D AS y1")).to_box("x0", "y0", "x1", "y1")
+    w = GeoFrame(e.df.withColumn("the_geom", st.wkb(F.col("the_geom"), st.ENVELOPE)), "the_geom", "EPSG:4326").transform_crs("EPSG:3857")
+    b = st.envelope(F.col("the_geom"), st._binary)
+    return w.df.select("id", b.alias("e")).select("id", F.round(F.expr("(e.xmax - e.xmin) * (e.xmax - e.xmin)") / 1e6, 1).alias("wide"))
+
+
+@query("SELECT count(*) AS n, true AS few, true AS ordered FROM events")
+def partition_by_quadkey(spark: SparkSession, d: str) -> DataFrame:
+    """Keys estimated from a sample; a key lies in one partition, and partitions follow the keys' order."""
+    f = event_places(spark, d).partition_by_quad_key(ratio=0.5, cluster_bytes=64.0 * 1000, count=6)
+    own = f.df.select("id", "quad_key", F.spark_partition_id().alias("p"))
+    ends = own.filter(F.col("quad_key") != quadkey.OUTLIER).groupBy("p").agg(F.min("quad_key").alias("lo"), F.max("quad_key").alias("hi")).orderBy("p").collect()
+    ordered = all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+    return own.agg(F.count_distinct("id").alias("n"), (F.count_distinct("p") <= 6).alias("few")).withColumn("ordered", F.lit(ordered))
+
+
+@query("SELECT o_custkey AS cust, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
+def map_to_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as key and value, grouped by the key."""
+    f = table(spark, d, "orders").map_to_pair("o_custkey, o_orderstatus")
+    return f.df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value.o_totalprice"), 2).alias("total")).select(F.col("key.o_custkey").alias("cust"), F.col("key.o_orderstatus").alias("status"), "n", "total")
+
+
+@query("SELECT c_mktsegment, 1 AS parts, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def partition_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Each key lies in one partition."""
+    f = table(spark, d, "customer").partition_by_key("c_mktsegment", 7)
+    own = f.df.select("c_mktsegment", F.spark_partition_id().alias("p"))
+    return own.groupBy("c_mktsegment").agg(F.count_distinct("p").alias("parts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '-' ORDER BY n_name) AS names, (max(n_nationkey % 5) - min(n_nationkey % 5) + 1) * 20.0::DOUBLE * (floor(max(n_nationkey) / 5.0) - floor(min(n_nationkey) / 5.0) + 1) * 20 AS box FROM nation GROUP BY n_regionkey")
+def sql_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """envelope and concat_str in SQL."""
+    ship(spark)
+    st.register(spark)
+    n, b = table(spark, d, "nation").df, nation_boxes(spark, d).df
+    rows = b.join(n, b.id == n.n_nationkey).select("n_regionkey", "n_name", st.wkb(F.col("the_geom"), st.ENVELOPE).alias("g"))
+    return spark.sql("SELECT n_regionkey, concat_str(n_name, '-') AS names, ST_Area(envelope(g)) AS box FROM {rows} GROUP BY n_regionkey", rows=rows)
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 400.0::DOUBLE END AS area, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE (n_nationkey % 5) * 20.0::DOUBLE + 10 END AS cx, n_nationkey % 3 <> 0 AS met FROM nation")
+def null_on_error(spark: SparkSession, d: str) -> DataFrame:
+    """Geometries that can't be read give NULL and meet nothing; nothing stops."""
+    ship(spark)
+    b = nation_boxes(spark, d).df
+    g = F.when(F.col("id") % 3 == 0, F.lit(bytearray(b"\0"))).otherwise(st.wkb(F.col("the_geom"), st.ENVELOPE))
+    f = GeoFrame(b.select("id", g.alias("g")), "g").centroid(output="c")
+    e = st.envelope(F.col("c"), st._binary)
+    return f.df.select("id", st.BY_NAME["ST_Area"]("g").alias("area"), e.alias("e"), F.coalesce(st.BY_NAME["ST_Intersects"](F.col("g"), F.col("g")), F.lit(False)).alias("met")).select("id", "area", F.col("e.xmin").alias("cx"), "met")
+
+
+@query("SELECT o_orderkey, round(coalesce((o_totalprice + o_custkey) / 2, 0), 4) AS mean, round(o_totalprice + o_custkey, 4) AS total FROM orders")
+def sql_array_functions(spark: SparkSession, d: str) -> DataFrame:
+    st.register(spark)
+    rows = table(spark, d, "orders").df.selectExpr("o_orderkey", "array(o_totalprice, cast(o_custkey AS DOUBLE)) AS a")
+    return spark.sql("SELECT o_orderkey, round(ST_ArrayAvg(a), 4) AS mean, round(ST_ArraySum(a), 4) AS total FROM {rows}", rows=rows)
+
+
 # -- workloads
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,35 @@ def ship(spark: SparkSession) -> None:
     sc._geoloom_core = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and every executor share: the session's ``spark.checkpoint.dir``.
+
+    Only a local master, as in tests, may do without; a temporary folder takes its place there.
+    """
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the whole cluster shares")
+        path = "file://" + tempfile.mkdtemp(prefix="geoloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="geoloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder; computed once, unlike a checkpoint."""
+    path = scratch(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
