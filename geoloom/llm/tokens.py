@@ -15,13 +15,16 @@ are left out.
 Order: rows are dealt by range of (document id, text hash) and sorted, so one
 document id on very many rows doesn't make one large file. Null ids come first,
 null and empty texts give the end id alone; each row is a document of its own;
-rows that share an id follow each other by text hash.
+rows that share an id follow each other by text hash. Very long texts are cut into as
+many chunks as they fill. An empty table gives an empty folder, which reads as no rows.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ CHUNK = 65_536
 MAGIC = b"PLN1"
 #: Documents that are encoded together.
 TOGETHER = 2_000
-#: Words that a process keeps encoded; the table is begun anew beyond it.
+#: Stretches that a process keeps encoded; the table is begun anew beyond it.
 TABLE_WORDS = 1_500_000
 
 _CHUNKS = pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_no", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("payload", pa.binary())])
@@ -95,46 +98,46 @@ class _Table:
         self.used += len(flat)
         self.at.update(zip(keys, range(k, k + len(keys))))
 
-    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
-        n = self.lengths[at]
-        return self.ids[take_runs(self.starts[at], n)], n
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The keys' numbers; -1 for those that are not there."""
+        return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
 
 
 class WordCache:
-    """Ids of stretches between white space, whose words the library has encoded, while the tables hold them.
+    """Ids of stretches between white space, whose words the library has encoded, while the table holds them.
 
     No word crosses white space, so a stretch's ids are those of its words; white
     space beyond ASCII within a stretch is the tokenizer's own matter.
     """
 
     def __init__(self, path: str) -> None:
-        self.tok = tokenizer(path)
-        self.words, self.stretches = _Table(), _Table()
+        self.tok, self.stretches = tokenizer(path), _Table()
 
     def encode(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The stretches' ids in a row, and how many each has."""
         coded = stretches.dictionary_encode()
-        ids, n = self._encode(coded.dictionary.to_pylist())
-        at, starts = coded.indices.to_numpy(), np.cumsum(n) - n
-        return ids[take_runs(starts[at], n[at])], n[at]
-
-    def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words.at) > TABLE_WORDS or len(self.stretches.at) > TABLE_WORDS:
-            self.words, self.stretches = _Table(), _Table()
-        new = [x for x in stretches if x not in self.stretches.at]
-        if new:
+        own = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        n = self.stretches.lengths[own]
+        return self.stretches.ids[take_runs(self.stretches.starts[own], n)], n
+
+    def _numbers(self, stretches: list[str]) -> np.ndarray:
+        if len(self.stretches.at) > TABLE_WORDS:
+            self.stretches = _Table()
+        at = self.stretches.find(stretches)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [stretches[k] for k in missing.tolist()]
             parts = [self.tok.words(x) for x in new]
             words = [w for p in parts for w in p]
-            fresh = [w for w in set(words) if w not in self.words.at]
-            if fresh:
-                ids = self.tok.encode(fresh)
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
-                self.words.add(fresh, n, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
-            flat, n = self.words.get(words)
-            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
-            self.stretches.add(new, np.diff(ends), flat)
-        return self.stretches.get(stretches)
+            each = dict(zip(dict.fromkeys(words), count()))
+            ids = self.tok.encode(list(each))
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+            own = np.fromiter(map(each.__getitem__, words), np.int64, len(words))
+            ends = np.concatenate([[0], np.cumsum(n[own])])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+            at[missing] = np.arange(len(self.stretches.at), len(self.stretches.at) + len(new))
+            self.stretches.add(new, np.diff(ends), flat[take_runs((np.cumsum(n) - n)[own], n[own])])
+        return at
 
 
 def _encoded(cache: WordCache, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
