@@ -20,7 +20,8 @@ large as the vocabulary, whatever the corpus; it is sent to each executor.
 
 Defined results: a null text counts as empty and gives no ids and an empty
 decoded text. Null or repeated document ids are kept; each row is its own
-document. Other columns of the input are ignored.
+document. Very long texts are worked on whole. An empty table gives no rows. Other
+columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ from .common import pack_bytes, pack_u32, partitions, ship, take_runs, unpack_by
 BLOCK_CHARS = 24_000_000
 #: Words after which a segment of a block's sequences is closed.
 SEGMENT_WORDS = 1_000_000
+#: Word buckets at most, so that a block's rows don't grow with the number of partitions.
+BUCKETS = 256
+#: Documents and ids that are decoded together; pieces are joined in arrays of 32-bit offsets.
+TOGETHER, TOGETHER_IDS = 256, 4_000_000
 #: Words that a bucket's table holds at once; a larger table is begun anew, so
 #: that memory stays bounded (a word is then encoded once in each part).
 TABLE_WORDS = 1_500_000
@@ -71,19 +76,31 @@ class WordTokenizer:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words_of = regex.compile(pattern.replace("[^\\s", f"[^{SPACE}")).findall
+        pattern = pattern.replace("[^\\s", f"[^{SPACE}")
+        self.words_of, self.marked = regex.compile(pattern).findall, regex.compile(pattern + "|\n").findall
         whole = Tokenizer.from_file(path)
         self.pieces = [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size(with_added_tokens=True))]
         spec["normalizer"], spec["added_tokens"] = None, []
         spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][1]
         self.of_word = Tokenizer.from_str(json.dumps(spec))
 
-    def plain(self, text: str) -> list[str]:
+    @staticmethod
+    def lower(text: str) -> str:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower case by character, whatever follows
-        return self.words_of(text.lower())
+        return text.lower()
+
+    def plain(self, text: str) -> list[str]:
+        return self.words_of(self.lower(text))
+
+    def words_of_many(self, stretches: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of stretches without white space and special tokens, and how many each has; one pass over all."""
+        marked = self.marked(self.lower("\n".join(stretches))) if stretches else []
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, marked), bool, len(marked)))
+        ends = np.append(ends, len(marked)) - np.arange(len(ends) + 1)
+        return [w for w in marked if w != "\n"], np.diff(ends, prepend=0)[: len(stretches)]
 
     def words(self, text: str | None) -> list[str]:
         """The text's words in order; a special token stands as "\\n" and its content."""
@@ -258,7 +275,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, finish, sch
     ship(spark)
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    parts = rows.mapInArrow(_split_blocks(path, n), _PARTS_SQL)
+    parts = rows.mapInArrow(_split_blocks(path, min(n, BUCKETS)), _PARTS_SQL)
     ids = parts.repartition(n, "bucket").mapInArrow(_encode_buckets(path), _PARTS_SQL)
     return ids.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_gather(finish), schema)
 
@@ -281,12 +298,25 @@ def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
         pieces = pa.array(tokenizer(path).pieces)
         for batch in batches:
             lists = batch.column(1)
-            text = _joined(pieces, lists.offsets, lists.flatten()) if len(batch) and not lists.null_count else pa.array(["" if x is None else " ".join(pieces[i].as_py() for i in x) for x in lists.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()  # null ids are no ids
+            ends, ids = np.concatenate([[0], np.cumsum(n)]), lists.flatten()
+            for a, b in _together(ends):
+                text = _joined(pieces, pa.array(ends[a : b + 1] - ends[a], pa.int32()), ids.slice(ends[a], ends[b] - ends[a]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), text], ["doc_id", "text"])
 
     return ids.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def _together(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with few enough ids; one that has more stands alone."""
+    a = 0
+    while a < len(ends) - 1:
+        b = int(np.searchsorted(ends, ends[a] + TOGETHER_IDS, side="right")) - 1
+        b = min(max(b, a + 1), a + TOGETHER, len(ends) - 1)
+        yield a, b
+        a = b
+
+
 def _joined(pieces: pa.Array, offsets: pa.Array, ids: pa.Array) -> pa.Array:
     base = offsets[0].as_py() if len(offsets) else 0
     if base:
@@ -302,12 +332,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
         of_ids = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         of_text: list[str] = []
-        for k in range(0, len(doc), 256):  # the decoded text is larger than the text
-            own = ends[k : k + 257]
+        for a, b in _together(ends):  # the decoded text is larger than the text
+            own = ends[a : b + 1]
             text = _joined(pieces, pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]].astype(np.int32)))
             buf, at = text.buffers()[2], np.frombuffer(text.buffers()[1], np.int32, len(text) + 1)
             view = memoryview(buf) if buf is not None else memoryview(b"")
-            of_text += [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            of_text += [hashlib.sha256(view[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
         return pa.RecordBatch.from_arrays([doc, pa.array(np.diff(ends)), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _encoded(docs, path, id_col, text_col, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,8 +15,9 @@ joined, so a common first turn is one row.
 
 Defined results: a null role or text counts as empty; turns that repeat entirely
 count once; turns of one number are ordered by role and text; a null turn number
-comes first; a null conversation id is one conversation, below all others. Other
-columns are ignored.
+comes first; a null conversation id is one conversation, below all others. Very long
+texts are rendered whole. An empty table gives no rows. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Turn numbers in a block.
 BLOCK = 256
 _NO_ID = -(2**63)
@@ -65,7 +68,7 @@ def render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|
 
     A conversation's text is its rows' ``rendered`` in order of place.
     """
-    rolled = turns(conversations, **columns)
+    rolled = table(turns(conversations, **columns))  # read three times below
     kept = rolled.join(maximal(rolled), "conv", "left_semi")
     text = F.concat(F.lit(start), "role", F.lit("\n"), "text", F.lit(end + "\n"))
     return kept.select(F.when(F.col("conv") != _NO_ID, F.col("conv")).alias("conv_id"), (F.col("pos") - 1).alias("place"), text.alias("rendered"))

@@ -5,57 +5,19 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import cut, scratch, shared_dir, table  # noqa: F401
+
 #: ASCII white space, as the contracts define it.
 ASCII_WS = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; partitions and their order stay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder.
-
-    Unlike a checkpoint it is computed once and compressed; rows come back in any
-    order and partitioning.
-    """
-    path = scratch(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors' Python, once a context."""
     sc = spark.sparkContext

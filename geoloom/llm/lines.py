@@ -16,7 +16,8 @@
 Defined results: a null or empty text is one empty line. A null document id is a
 document below all others. Rows that share an id are one document: each row is
 returned with the lines of its own text, and rows that repeat entirely get the
-same result. Other columns pass through :func:`apply`.
+same result. Very long texts and lines are worked on whole. An empty table gives no
+rows. Other columns, whatever their names, pass through :func:`apply`.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
 def _with_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left = docs.withColumn(_TH, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     right = maps.select(F.col("doc_id").alias("__gl_doc"), F.col("text_hash").alias("__gl_th"), F.col("keep").alias(_KEEP))
-    joined = left.join(right.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("__gl_doc")) & (F.col(_TH) == F.col("__gl_th")), "left")
+    joined = left.join(right.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__gl_doc")) & (F.col(_TH) == F.col("__gl_th")), "left")
     return joined.select(*[left[f"`{c}`"] for c in docs.columns], right[_KEEP])
 
 

@@ -100,6 +100,33 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
         assert all(r.kept == (r.doc_id == want[r.doc_id]) for r in got if r.doc_id is not None)
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    rng = random.Random(14)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(1500):  # a third is one group; most pairs stand near the threshold
+        w = list(base) if i % 3 == 0 else [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(rng.randint(0, 5) if i % 3 == 0 else 0):
+            w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows if i % 3 == 0}
+    ids, up = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if root(a) != root(b) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == {i: root(i) if i in up else i for i, _ in rows} and len({root(i) for i in ids}) > 1
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     errors = []
@@ -236,9 +263,83 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def naive_scan(text):
+    """labels of the templates beyond the base phrases, and the best share."""
+    w = re.findall("[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    labels, score = set(), 0.0
+    for t in licenses.TEMPLATES:
+        own = licenses.template_words(t.text)
+        grams = len(own) - 2
+        hits = sorted((p - k, p, k) for k in range(grams) for p in range(len(w) - 2) if w[p : p + 3] == own[k : k + 3])
+        span, before, spans = 0, None, {}
+        for d, p, k in hits:
+            span += before is not None and d - before > licenses.NEAR
+            before = d
+            spans.setdefault(span, []).append((p, k))
+        for own_hits in spans.values():
+            for p, _ in own_hits:
+                share = len({k for q, k in own_hits if p <= q <= p + grams * 6 // 5 + licenses.NEAR}) / grams
+                score = max(score, share)
+                if share >= t.share:
+                    labels.add(t.label)
+    return ",".join(sorted(labels)), score
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = random.Random(31)
+    filler = [f"word{k}" for k in range(50)] + ["the", "license", "software", "a", "copy", "of"]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(filler) for _ in range(rng.randint(0, 80))]
+        for _ in range(rng.randint(0, 3)):
+            own = licenses.template_words(rng.choice(licenses.TEMPLATES).text)
+            own = own[: rng.randint(3, len(own))] if i % 2 else own
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                own.insert(rng.randrange(len(own) + 1), rng.choice(filler))
+            at = rng.randint(0, len(w))
+            w[at:at] = own
+        rows.append((i, " ".join(w)))
+    notice = licenses.template_words(licenses.TEMPLATES[13].text)[:18]
+    rows += [(100, " ".join(notice)), (101, " ".join(notice + [f"q{k % 7} a copy" for k in range(60)])), (102, "x " * 3000 + licenses.TEMPLATES[11].text + " y" * 3000)]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {i: (a, round(b, 9)) for i, t in rows for a, b in [naive_scan(t)]}
+    assert "mit" in got[100][0] and "mit" in got[101][0] and got[102] == ("mit", 1.0)
+
+
+def test_licenses_hold_long_templates(spark):
+    long = licenses.Template("long", " ".join(f"v{k}" for k in range(300)), share=0.9)
+    docs = frame(spark, [(1, "a b " + long.text), (2, " ".join(long.text.split()[:200]))])
+    assert {r.doc_id: (r.labels, round(r.score, 2)) for r in licenses.scan(docs, (long,)).collect()} == {1: ("long", 1.0), 2: ("", 0.66)}
+
+
 # -- fingerprints
 
 
+def test_samples_equal_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+    h64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed & mask)
+    uniform = lambda x, bit: ((x >> bit & 0xFFFF) + 0.5) / 65536
+    texts = {1: "a b c a a ß d", 2: "b c " * 40 + "x y z", 3: "one"}
+    got = {r.doc_id: r.sample for r in fingerprints.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        want = []
+        for k in range(fingerprints.SAMPLES):
+            best = None
+            for w, n in collections.Counter(t.split()).items():
+                h = h64(w.encode(), 42)
+                x, y = (h64(struct.pack("<i", 2 * (k % 8) + j + k // 8 * 16), h64(struct.pack("<Q", h), 42)) for j in (0, 1))
+                r, log_c = -np.log(uniform(x, 0) * uniform(x, 16)), np.log(-np.log(uniform(x, 32) * uniform(x, 48)))
+                step = int(np.floor(np.log(n) / r + uniform(y, 0)))
+                rank = int((log_c - r * (step - uniform(y, 0) + 1) + 64) * (1 << 32))
+                best = min(best or (rank, 0), (rank, (y >> 48) + step * 40503 & 0xFFFF)) if best else (rank, (y >> 48) + step * 40503 & 0xFFFF)
+            want.append(best[1])
+        assert got[i] == want
+
+
 def test_fingerprints(spark):
     rng = random.Random(8)
     text = lambda: " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) + str(rng.randrange(9)) for _ in range(rng.randint(20, 200)))
@@ -323,6 +424,10 @@ def test_toxicity(spark):
     held = [i for i in range(400, 600)]
     assert np.mean([got[i].rejected == truth[i] for i in held]) > 0.97
     assert not got[9000].rejected and not got[9001].rejected and not got[9002].rejected and 0 <= got[9000].p_low_quality <= 1
+    plain = dict(rows)
+    for i in (*held[:40], 9000, 9001, 9002):  # each row by itself
+        p = chain.predict([toxicity.features(plain[i])])[0]
+        assert np.allclose([got[i].p_low_quality, got[i].p_toxic], p, atol=1e-6) and got[i].rejected == (p[-1] >= toxicity.THRESHOLD)
     kept = toxicity.apply(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.rejected}
     none = toxicity.train(docs, labels.limit(0))
