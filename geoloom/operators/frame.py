@@ -21,10 +21,11 @@ from ..functions import st
 from ..plans import script as _script
 from ..plans import select as _select
 from ..plans.aggregate import SPATIAL, Agg, Group, _csv
-from ..runtime import cut, ship
+from ..runtime import ship, table
 from . import grid as _grid
 from . import quadkey as _quad
 from . import sjoin as _sjoin
+from .components import components
 
 _TYPES = {"string": "string", "str": "string", "int": "int", "integer": "int", "long": "bigint", "bigint": "bigint", "double": "double", "float": "float", "short": "smallint", "byte": "tinyint", "boolean": "boolean", "bool": "boolean", "date": "date", "datetime": "timestamp", "timestamp": "timestamp", "binary": "binary", "geometry": "binary", "point": "struct<x:double,y:double>", "polygon": "binary", "envelope": "struct<xmin:double,xmax:double,ymin:double,ymax:double>", "grid_cell": "struct<x:int,y:int>", "float_array": "array<float>"}
 JOIN_TYPES = {"inner": "inner", "left_outer": "left", "left": "left", "right_outer": "right", "right": "right", "full_outer": "full", "full": "full", "semi": "left_semi"}
@@ -238,7 +239,7 @@ class GeoFrame:
 
     def _numbered(self) -> "GeoFrame":
         """Rows with a number that stays the same however often the plan runs: they are written first."""
-        return GeoFrame(cut(self.df.withColumn("__uid", F.monotonically_increasing_id())), self.geom, self.srid)
+        return GeoFrame(table(self.df.withColumn("__uid", F.monotonically_increasing_id())), self.geom, self.srid)
 
     def spatial_semi_join(self, right: "GeoFrame", relation: str = "intersects", negated: bool = False, dist: float = 0.0, key: str | None = None) -> "GeoFrame":
         """Left rows with a match, or without one if negated; null geometries have none.
@@ -474,20 +475,11 @@ class GeoFrame:
         made = self.buffer(dist).assign_uid("FID")
         if not dissolve:
             return made
-        made = GeoFrame(cut(made.df), made.geom, made.srid)
+        made = GeoFrame(table(made.df), made.geom, made.srid)
         slim = GeoFrame(made.df.select("FID", made.geom), made.geom, made.srid)
         found, _ = slim._pairs(slim, "intersects", 0.0)
-        links = cut(found.select(F.col("l_row.FID").alias("a"), F.col("r_row.FID").alias("b")).filter("a <> b"))
-        label = cut(slim.df.select(F.col("FID").alias("v"), F.col("FID").alias("c")))
-        while True:  # the smallest number spreads; a set's labels are then followed once more
-            near = links.join(label, links.b == label.v).groupBy("a").agg(F.min("c").alias("m"))
-            step = label.join(near, label.v == near.a, "left").select("v", "c", F.least("c", "m").alias("n"))
-            jump = label.select(F.col("v").alias("n"), F.col("c").alias("up"))
-            new = cut(step.join(jump, "n", "left").select("v", F.least("n", "up").alias("c"), (F.least("n", "up") < F.col("c")).alias("moved")))
-            label = new.select("v", "c")
-            if not new.filter("moved").limit(1).count():
-                break
-        named = slim.df.join(label, slim.df.FID == label.v).select(F.col("c").alias("FID"), made.geom)
+        label = components(found.select(F.col("l_row.FID").alias("a"), F.col("r_row.FID").alias("b")))
+        named = slim.df.join(label, slim.df.FID == label.v, "left").select(F.coalesce("c", "FID").alias("FID"), made.geom)
         out = GeoFrame(named, made.geom, made.srid).aggregate_by_group("FID", Agg("union_geom", made.geom, made.geom))
         return GeoFrame(out.df.select(made.geom, "FID"), made.geom, made.srid)
 

@@ -63,14 +63,19 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def row_bytes(df: DataFrame, within: str = "") -> Column:
+    """About how many bytes a row has in memory; the columns stand in the struct ``within``, if given."""
+    at = f"{within}." if within else ""
+    long = [F.coalesce(F.octet_length(F.col(f"{at}`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return sum(long, F.lit(64 + 16 * len(df.columns))).cast("double")
+
+
 def _measured(prepared: DataFrame, df: DataFrame, side: str, size: float) -> tuple[int, float]:
     """A side's coarsest level, and at most so many bytes that its rows have, once for each cell. One job."""
     wide = F.lit(size) * F.pow(F.lit(8.0), F.col(f"{side}_level"))
     span = lambda a: F.floor(F.col(f"{side}_{a}max") / wide) - F.floor(F.col(f"{side}_{a}min") / wide) + 1
-    long = [F.coalesce(F.octet_length(F.col(f"{side}_row.`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    row = sum(long, F.lit(64 + 16 * len(df.columns)))
     cells = span("x") * span("y") * LEVELS  # no coarser level has more
-    r = prepared.agg(F.max(f"{side}_level"), F.sum((cells * row).cast("double"))).first()
+    r = prepared.agg(F.max(f"{side}_level"), F.sum(cells * row_bytes(df, f"{side}_row"))).first()
     return r[0] or 0, r[1] or 0.0
 
 

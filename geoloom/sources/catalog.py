@@ -23,7 +23,7 @@ from ..functions import st
 from ..operators import quadkey
 from ..operators.frame import GeoFrame
 from ..operators.quadkey import OUTLIER, bounds as tile_bounds
-from ..operators.sjoin import estimated_bytes
+from ..operators.sjoin import row_bytes
 
 INFO = "_dataset.json"
 TYPES = ("FILE", "TEXT", "SPATIAL_CLUSTER")
@@ -238,12 +238,14 @@ class Catalog:
     def store_clustered(self, frame: GeoFrame, id: str, keys: list[str], force: bool = False, bind_outlier: bool = True, packs: int | None = None, valid: tuple | None = None, block_size: int | None = None) -> "DataSet":
         """Cluster by quad keys: consecutive keys lie together in ``packs`` ranges, and a row lies in each tile that it meets.
 
-        Without ``packs`` there are as many as the rows' estimated bytes need at the
-        default cluster size, and ``Defaults.partitions`` at least. Rows beyond
+        Without ``packs`` there are as many as the rows' bytes, which a job sums up, need
+        at the default cluster size, and ``Defaults.partitions`` at least. Rows beyond
         ``valid`` (xmin, ymin, xmax, ymax) are outliers, kept if ``bind_outlier``.
         """
         info = self.create(id, frame.schema, frame.geom, frame.srid, force, "SPATIAL_CLUSTER", block_size).info
-        packs = packs or max(self.defaults.partitions, math.ceil(estimated_bytes(frame.df) / self.defaults.cluster_size))
+        if not packs:
+            size = frame.df.agg(F.sum(row_bytes(frame.df))).first()[0] or 0
+            packs = max(self.defaults.partitions, math.ceil(size / self.defaults.cluster_size))
         # each copy knows all tiles of its row; the first in order owns it
         df = quadkey.attach(frame.df, frame.geom, keys, valid, bind_outlier, tiles="__tiles").drop("mbr")
         df = df.withColumn("__owned", F.col("quad_key") == F.get("__tiles", F.lit(0)))

@@ -141,3 +141,74 @@ def test_catalog(spark, tmp_path):
     assert cat.delete_dir("a") == ["a/clustered", "a/points"] and cat.get_or_none("a/points") is None
     assert cat.create("e", f.schema, "the_geom").read().count() == 0
     assert f.df.filter(F.col("id") < 0).count() == 0
+
+
+def test_catalog_parts_types_and_text(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    f = GeoFrame(spark.range(10).selectExpr("id", "id * 1D AS x", "1D AS y")).to_point("x", "y")
+    cat.store(f, "p", partition_id="one")
+    cat.store(f, "p", append=True, partition_id="two")
+    again = cat.store(GeoFrame(f.df.filter("id < 5"), "the_geom"), "p", append=True, partition_id="two")  # a retry replaces
+    assert again.count == 15 == again.read().count() and again.bounds == [0.0, 9.0, 1.0, 1.0]
+    with pytest.raises(ValueError, match="differ"):
+        cat.store(GeoFrame(f.df.withColumn("id", F.col("id").cast("int")), "the_geom"), "p", append=True)
+    with pytest.raises(ValueError, match="unknown data set type"):
+        cat.create("t", f.schema, type="OTHER")
+    text = cat.store(GeoFrame(spark.createDataFrame([("a b",), ("c",)], "line string")), "t", type="TEXT")
+    assert text.count == 2 and sorted(r.line for r in text.read().collect()) == ["a b", "c"]
+    keyed = cat.store_by_key(GeoFrame(spark.createDataFrame([("007", 1), ("7", 2)], "k string, v int")), "k", "k")
+    assert ids(keyed.read(), "k", "v") == [("007", 1), ("7", 2)]
+    assert cat.read_files(str(tmp_path / "cat" / "t"), "text").count() == 2
+
+
+def test_clustered_sets(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    f = GeoFrame(spark.range(180).selectExpr("id", "id * 2D - 180 AS x", "(id % 17) * 10D - 80 AS y")).to_point("x", "y", srid="EPSG:4326")
+    keys = ["0", "1", "2", "30", "31", "32", "33"]
+    ds = cat.store(f, "p").cluster("c", keys)
+    assert ds.quad_keys() == keys and ds.count == 180 and sum(ds.info.clusters.values()) > 180  # edges lie in several
+    left = boxes(spark, [(1, -180.0, 1.0, -91.0, 80.0), (2, -10.0, 5.0, 10.0, 15.0)])
+    want = ids(left.spatial_join(f, "left.{id as a}, right.{id as b}"), "a", "b")
+    assert want and ids(left.spatial_join(ds, "left.{id as a}, right.{id as b}"), "a", "b") == want
+    near = ds.near(boxes(spark, [(1, -170.0, 20.0, -160.0, 30.0)]))
+    assert 0 < near.count() < 80
+    inside = cat.get("p").cluster("v", keys, valid=(-90.0, -80.0, 0.0, 80.0), bind_outlier=False, block_size=1 << 20)
+    assert inside.count == f.filter_spatial((-90.0, -80.0, 0.0, 80.0)).count() and inside.info.block_size == 1 << 20
+    assert cat.store(GeoFrame(f.df.limit(0), "the_geom", "EPSG:4326"), "none").cluster("nothing", keys).read().count() == 0
+    parts = f.partition_by_quad_key(keys, count=4)
+    seen = parts.df.select("quad_key", F.spark_partition_id().alias("p")).distinct().orderBy("quad_key").collect()
+    assert [r.p for r in seen] == sorted(r.p for r in seen) and len({r.quad_key for r in seen}) == len(seen)
+
+
+def test_failing_geometries(spark):
+    f = GeoFrame(spark.createDataFrame([(1, None), (2, bytearray(b"\0"))], "id long, g binary"), "g")
+    assert [r.c for r in f.centroid(output="c").collect()] == [None, None] == [r.c for r in f.buffer(1.0, "c").collect()]
+    assert [r.g for r in GeoFrame(f.df, "g", "EPSG:4326").transform_crs("EPSG:3857").collect()] == [None, None]
+    for strict in (f.centroid(throw_op_error=True), f.buffer(1.0, throw_op_error=True), GeoFrame(f.df, "g", "EPSG:4326").transform_crs("EPSG:3857", throw_op_error=True)):
+        with pytest.raises(Exception):
+            strict.collect()
+    assert f.filter_spatial(GeoFrame(f.df.limit(0), "g")).count() == 0 and f.filter_spatial(GeoFrame(f.df.limit(0), "g"), negated=True).count() == 2
+    assert f.aggregate(agg.union_geom("g").alias("u")).collect()[0].u is None
+
+
+def test_rows_with_very_many_matches(spark, monkeypatch):
+    from geoloom.operators import frame as module
+
+    monkeypatch.setattr(module, "MATCHES", 3)
+    left = boxes(spark, [(1, 0.0, 0.0, 10.0, 10.0), (2, 50.0, 50.0, 60.0, 60.0), (3, 90.0, 0.0, 91.0, 1.0)])
+    right = boxes(spark, [(i, i * 1.0, i % 3 * 1.0, i + 1.5, i % 3 + 2.0) for i in range(30)])
+    covered = {(x, y) for i in range(30) for x in range(20) for y in range(20) if i <= x / 2 < i + 1.5 and i % 3 <= y / 2 < i % 3 + 2}
+    area = lambda f: {r.id: round(r.a, 6) for r in f.df.select("id", st.BY_NAME["ST_Area"](f._wkb()).alias("a")).collect()}
+    assert area(left.difference_join(right)) == {1: 100 - len(covered) / 4, 2: 100.0, 3: 1.0}
+    assert area(left.arc_clip(right)) == {1: len(covered) / 4}
+
+
+def test_broadcast_is_checked(spark, monkeypatch):
+    from geoloom.operators import sjoin
+
+    a, b = boxes(spark, [(i, i * 1.0, 0.0, i + 2.0, 1.0) for i in range(20)]), boxes(spark, [(i, i * 2.0, 0.0, i * 2.0 + 1, 1.0) for i in range(10)])
+    want = a.spatial_join(b, broadcast=False).count()
+    plan = lambda f: f.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(a.spatial_join(b, broadcast=True)) and a.spatial_join(b, broadcast=True).count() == want
+    monkeypatch.setattr(sjoin, "FORCED_BYTES", 10)
+    assert "broadcast" not in plan(a.spatial_join(b, broadcast=True)) and a.spatial_join(b, broadcast=True).count() == want
