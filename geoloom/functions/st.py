@@ -118,7 +118,13 @@ _as_text = _scalar(k.to_wkt, _string)
 _from_geojson = _scalar(k.from_geojson, _binary, geoms=0, wkb_out=True)
 _as_geojson = _scalar(k.to_geojson, _string)
 _envelope = _scalar(k.envelope, ENVELOPE, many=_many_envelopes)
-_point = _scalar(lambda x, y: k.point(float(x), float(y)), _binary, geoms=0, wkb_out=True)
+
+
+@F.pandas_udf(_binary)
+def _point(x: pd.Series, y: pd.Series) -> pd.Series:
+    xy = np.column_stack([x.to_numpy(float), y.to_numpy(float)])
+    return pd.Series([v if ok else None for v, ok in zip(k.point_values(xy), ~np.isnan(xy).any(1))], dtype=object)
+
 
 
 @F.pandas_udf(_binary)
@@ -128,7 +134,8 @@ def _same(v: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_binary)
 def _box_wkb(e: pd.DataFrame) -> pd.Series:
-    return pd.Series([k.to_wkb(k.box(*r)) if r[0] == r[0] and r[0] is not None else None for r in zip(e.xmin, e.ymin, e.xmax, e.ymax)], dtype=object)
+    bounds = e[["xmin", "ymin", "xmax", "ymax"]].to_numpy(float)
+    return pd.Series([v if ok else None for v, ok in zip(k.box_values(bounds), ~np.isnan(bounds).any(1))], dtype=object)
 
 
 def wkb(c: Column, kind: T.DataType) -> Column:
