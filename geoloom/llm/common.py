@@ -3,38 +3,18 @@
 from __future__ import annotations
 
 import io
-import os
-import tempfile
-import zipfile
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import cut, scratch, shared_dir, table  # noqa: F401
+from ..runtime import cut, scratch, shared_dir, ship, table  # noqa: F401
 
 #: ASCII white space, as the contracts define it.
 ASCII_WS = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors' Python, once a context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_geoloom_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="geoloom-"), "geoloom.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for at, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    z.write(full, os.path.join("geoloom", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._geoloom_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
