@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..runtime import ship, table
 
 
+#: Links up to which one task unites all of them; more go through rounds of steps.
+ONE_TASK = 200_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over one task's links: a star for each set of them."""
     up: dict[int, int] = {}
@@ -38,10 +42,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, c): every id that a link names, with the smallest id of its component.
 
-    Each task first unites its own links. Then large-star and small-star steps
-    alternate: every id hands its larger neighbours, then its smaller ones, to the
-    smallest it knows, until all that is left are stars. The steps are aggregations
-    with map-side combining and joins; rounds grow with the logarithm of the size.
+    Each task first unites its own links. If few enough are left, one task unites
+    them; else large-star and small-star steps alternate: every id hands its larger
+    neighbours, then its smaller ones, to the smallest it knows, until all that is left
+    are stars. The steps are aggregations with map-side combining and joins; rounds grow
+    with the logarithm of the size.
     """
     ship(links.sparkSession)
     own = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
@@ -51,6 +56,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.count_distinct("a").alias("d")).first()
         if now == state or now.n == 0:
             break
+        if now.n <= ONE_TASK:
+            edges = table(edges.coalesce(1).mapInArrow(_contract, "a long, b long"))
+            break
         state = now
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
