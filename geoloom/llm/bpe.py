@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import pack_bytes, pack_u32, partitions, ship, take_runs, unpack_bytes, unpack_u32
 
-#: Characters of text after which a block is closed.
+#: Bytes of text after which a block is closed.
 BLOCK_CHARS = 24_000_000
+#: Bytes of text that are split together.
+SPLIT_CHARS = 6_000_000
 #: Words after which a segment of a block's sequences is closed.
 SEGMENT_WORDS = 1_000_000
 #: Word buckets at most, so that a block's rows don't grow with the number of partitions.
@@ -113,6 +116,18 @@ class WordTokenizer:
             out += ["\n" + part] if k % 2 else self.plain(part)
         return out
 
+    def words_of_missing(self, stretches: list[str], missing: np.ndarray) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
+        """(numbers, stretches, all their words, words of each) of the stretches with the given numbers, in an order of its own."""
+        new = [stretches[k] for k in missing.tolist()]
+        odd = np.fromiter(("<|" in x for x in new), bool, len(new))  # perhaps a special token
+        missing = np.concatenate([missing[~odd], missing[odd]])
+        new = [stretches[k] for k in missing.tolist()]
+        even = len(new) - int(odd.sum())
+        words, counts = self.words_of_many(new[:even])
+        parts = [self.words(x) for x in new[even:]]
+        words += chain.from_iterable(parts)
+        return missing, new, words, np.concatenate([counts, [len(p) for p in parts]]).astype(np.int64)
+
     def encode(self, words: list[str]) -> list[list[int]]:
         encode = getattr(self.of_word, "encode_batch_fast", self.of_word.encode_batch)  # without offsets, where there is one
         out = [x.ids for x in encode(words, add_special_tokens=False)]
@@ -129,10 +144,47 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+class Table:
+    """Ids by string, in one growing array."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def add(self, keys: list[str], n: np.ndarray, flat: np.ndarray) -> None:
+        k = len(self.at)
+        while len(self.starts) < k + len(keys):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.starts[k : k + len(keys)] = self.used + np.cumsum(n) - n
+        self.lengths[k : k + len(keys)] = n
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.at.update(zip(keys, range(k, k + len(keys))))
+
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The keys' numbers; -1 for those that are not there."""
+        return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+
+
 _PARTS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("docs", pa.binary()), ("body", pa.binary())])
 _PARTS_SQL = "bucket int, block long, part long, docs binary, body binary"
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], int, pa.ListArray]]:
+    """(document ids, characters, stretches between white space) of a bounded number of documents or characters."""
+    for batch in batches:
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())])
+        a = 0
+        while a < len(batch):
+            b = min(max(a + 1, int(np.searchsorted(sizes, sizes[a] + SPLIT_CHARS, side="right")) - 1), a + 2_000, len(batch))
+            texts = pc.fill_null(batch.column(1).slice(a, b - a), "")
+            yield batch.column(0).slice(a, b - a).to_pylist(), int(sizes[b] - sizes[a]), pc.ascii_split_whitespace(texts)
+            a = b
+
+
 def _split_blocks(path: str, buckets: int):
     """Documents to word parts (bucket >= 0, part = bucket) and sequence parts (bucket < 0)."""
     import xxhash
@@ -143,6 +195,7 @@ def _split_blocks(path: str, buckets: int):
         tok = tokenizer(path)
         block = TaskContext.get().partitionId() << 24
         local: dict[str, int] = {}
+        known = Table()  # local numbers of the words in each stretch between white space, which no word crosses
         seqs: list[np.ndarray] = []
         docs: list[int | None] = []
         chars = 0
@@ -176,19 +229,29 @@ def _split_blocks(path: str, buckets: int):
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 64]), _PARTS.types)], schema=_PARTS)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = tok.words(text)
+        for doc, size, stretches in _stretches(batches):
+            coded = stretches.values.dictionary_encode()
+            texts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            at = known.find(texts)
+            missing = np.flatnonzero(at < 0)
+            if len(missing):
+                missing, new, words, counts = tok.words_of_missing(texts, missing)
                 for w in words:
                     if w not in local:
                         local[w] = len(local)
-                seqs.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
-                docs.append(doc)
-                chars += len(text or "")
-                if chars >= BLOCK_CHARS:
-                    yield from close()
-                    block += 1
-                    local, seqs, docs, chars = {}, [], [], 0
+                at[missing] = np.arange(len(known.at), len(known.at) + len(new))
+                known.add(new, counts, np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
+            own = at[coded.indices.to_numpy()]
+            n = known.lengths[own]
+            flat = known.ids[take_runs(known.starts[own], n)]
+            ends = np.concatenate([[0], np.cumsum(n)])[stretches.offsets.to_numpy()]
+            seqs += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            docs += doc
+            chars += size
+            if chars >= BLOCK_CHARS:
+                yield from close()
+                block += 1
+                local, known, seqs, docs, chars = {}, Table(), [], [], 0
         if docs:
             yield from close()
 
