@@ -143,13 +143,15 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         F.count(F.when(F.col("pos") >= F.col("na"), 1)).alias("n2"),
     ).withColumn("h", F.xxhash64("w"))
     marked = samples(counted, ["doc", "th"], {"one": "n1", "two": "n2"}, n)
-    done = table(marked.join(shas, ["doc", "th"]))
+    # 16 bits a sample while they are written and shuffled
+    short = lambda c: F.transform(c, lambda v: (v - 32768).cast("short")).alias(c)
+    done = table(marked.select("doc", "th", short("one"), short("two")).join(shas, ["doc", "th"]))
     out = placed.join(done, ["doc", "th"])
     beside = done.select(F.col("doc").alias("next_doc"), F.col("th").alias("next_th"), F.col("one").alias("other"))
     out = out.join(beside, (out["next.doc"] == beside.next_doc) & (out["next.th"] == beside.next_th))
     out = out.withColumn("again", F.explode(F.expr("sequence(1L, times)")))
     return out.select(
         F.when(~F.col("anon"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
-        text_of(F.col("one")).alias("fingerprint"), text_of(F.col("two")).alias("edited_fingerprint"),
+        *[text_of(F.transform(c, lambda v: v.cast("int") + 32768)).alias(name) for c, name in (("one", "fingerprint"), ("two", "edited_fingerprint"))],
         likeness(F.col("one"), F.col("two"), n).alias("near_edited"), likeness(F.col("one"), F.col("other"), n).alias("near_next"),
     )
