@@ -621,7 +621,7 @@ def filter_by_frame(spark: SparkSession, d: str) -> DataFrame:
     return GeoFrame.union([p.filter_spatial(key), none]).df.select("id", "x", "y")
 
 
-@query("SELECT event_id AS id, round(111319.490793 * 2 * 2 * 111319.490793 / 1e6, 1) AS wide FROM events WHERE abs(((event_id * 104729) % 17000) / 100.0 - 85.0) < 0.000001")
+@query("SELECT event_id AS id, round(4 * 111319.490793::DOUBLE * 111319.490793::DOUBLE / 1e6, 1) AS wide FROM events WHERE abs(((event_id * 104729) % 17000) / 100.0 - 85.0) < 0.000001")
 def transform_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Boxes two degrees wide, to metres; the width is the same at any latitude."""
     f = event_places(spark, d).filter_sql("abs(y) < 0.000001")
