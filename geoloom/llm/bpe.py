@@ -41,6 +41,8 @@ from .common import pack_bytes, pack_u32, partitions, ship, take_runs, unpack_by
 
 #: Bytes of text after which a block is closed.
 BLOCK_CHARS = 24_000_000
+#: Words that one call encodes.
+WORDS_TOGETHER = 50_000
 #: Bytes of text that are split together.
 SPLIT_CHARS = 6_000_000
 #: Words after which a segment of a block's sequences is closed.
@@ -136,6 +138,20 @@ class WordTokenizer:
                 out[k] = [self.special[w[1:]]]
         return out
 
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and how many each has; words go to the library together."""
+        if any(w[:1] == "\n" for w in words):
+            ids = self.encode(words)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), WORDS_TOGETHER):
+            own = words[k : k + WORDS_TOGETHER]
+            done = self.of_word.encode(own, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(done.ids, np.uint32))
+            counts.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(own)))
+        return np.concatenate(flat), np.concatenate(counts)
+
 
 def tokenizer(path: str) -> WordTokenizer:
     """The file's tokenizer, loaded once in a process."""
@@ -275,11 +291,10 @@ def _encode_buckets(path: str):
                     if len(table) > TABLE_WORDS:
                         table, ids, lengths, starts = {}, ids[:0], lengths[:0], starts[:0]
                     if new := [w for w in words if w not in table]:
-                        more = tok.encode(new)
-                        n = np.fromiter(map(len, more), np.int64, len(more))
+                        more, n = tok.encode_flat(new)
                         starts = np.concatenate([starts, len(ids) + np.cumsum(n) - n])
                         lengths = np.concatenate([lengths, n])
-                        ids = np.concatenate([ids, np.fromiter((i for x in more for i in x), np.uint32, int(n.sum()))])
+                        ids = np.concatenate([ids, more])
                         table.update(zip(new, range(len(table), len(table) + len(new))))
                     at = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
                     n = lengths[at]

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count, repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer
+from .bpe import Table, tokenizer
 from .common import partitions, ship, take_runs
 
 CHUNK = 65_536
@@ -41,7 +41,7 @@ MAGIC = b"PLN1"
 #: Documents that are encoded together.
 TOGETHER = 2_000
 #: Stretches that a process keeps encoded; the table is begun anew beyond it.
-TABLE_WORDS = 1_500_000
+TABLE_WORDS = 690_000
 
 _CHUNKS = pa.schema([("file", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_no", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("at", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("payload", pa.binary())])
 _CHUNKS_SQL = "file int, chunk int, first long, n_ids int, doc_no array<long>, doc_id array<long>, at array<long>, n array<int>, payload binary"
@@ -78,31 +78,6 @@ def unpack_chunk(payload: bytes) -> np.ndarray:
     return out.view("<u4").ravel() if kind == 8 else out
 
 
-class _Table:
-    """Ids by string, in one growing array."""
-
-    def __init__(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def add(self, keys: list[str], n: np.ndarray, flat: np.ndarray) -> None:
-        k = len(self.at)
-        while len(self.starts) < k + len(keys):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[k : k + len(keys)] = self.used + np.cumsum(n) - n
-        self.lengths[k : k + len(keys)] = n
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.at.update(zip(keys, range(k, k + len(keys))))
-
-    def find(self, keys: list[str]) -> np.ndarray:
-        """The keys' numbers; -1 for those that are not there."""
-        return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
-
-
 class WordCache:
     """Ids of stretches between white space, whose words the library has encoded, while the table holds them.
 
@@ -111,7 +86,7 @@ class WordCache:
     """
 
     def __init__(self, path: str) -> None:
-        self.tok, self.stretches = tokenizer(path), _Table()
+        self.tok, self.stretches = tokenizer(path), Table()
 
     def encode(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The stretches' ids in a row, and how many each has."""
@@ -122,19 +97,15 @@ class WordCache:
 
     def _numbers(self, stretches: list[str]) -> np.ndarray:
         if len(self.stretches.at) > TABLE_WORDS:
-            self.stretches = _Table()
+            self.stretches = Table()
         at = self.stretches.find(stretches)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new = [stretches[k] for k in missing.tolist()]
-            parts = [self.tok.words(x) for x in new]
-            words = [w for p in parts for w in p]
+            missing, new, words, counts = self.tok.words_of_missing(stretches, missing)
             each = dict(zip(dict.fromkeys(words), count()))
-            ids = self.tok.encode(list(each))
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+            flat, n = self.tok.encode_flat(list(each))
             own = np.fromiter(map(each.__getitem__, words), np.int64, len(words))
-            ends = np.concatenate([[0], np.cumsum(n[own])])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+            ends = np.concatenate([[0], np.cumsum(n[own])])[np.concatenate([[0], np.cumsum(counts)])]
             at[missing] = np.arange(len(self.stretches.at), len(self.stretches.at) + len(new))
             self.stretches.add(new, np.diff(ends), flat[take_runs((np.cumsum(n) - n)[own], n[own])])
         return at
