@@ -21,7 +21,7 @@ from ..functions import st
 from ..plans import script as _script
 from ..plans import select as _select
 from ..plans.aggregate import SPATIAL, Agg, Group, _csv
-from ..runtime import ship, table
+from ..runtime import ship, spread, table
 from . import grid as _grid
 from . import quadkey as _quad
 from . import sjoin as _sjoin
@@ -472,14 +472,18 @@ class GeoFrame:
 
     def arc_buffer(self, dist: float, dissolve: bool = False) -> "GeoFrame":
         """Buffers with a number ``FID``; dissolved: one union for each connected set, as (geometry, FID)."""
-        made = self.buffer(dist).assign_uid("FID")
+        numbered = self.assign_uid("FID")
+        made = numbered.spread().buffer(dist)
         if not dissolve:
             return made
         made = GeoFrame(table(made.df), made.geom, made.srid)
-        slim = GeoFrame(made.df.select("FID", made.geom), made.geom, made.srid)
-        found, _ = slim._pairs(slim, "intersects", 0.0)
-        label = components(found.select(F.col("l_row.FID").alias("a"), F.col("r_row.FID").alias("b")))
-        named = slim.df.join(label, slim.df.FID == label.v, "left").select(F.coalesce("c", "FID").alias("FID"), made.geom)
+        solid = st.envelope(*made._geometry()).isNotNull()
+        # equal geometries are one, of the smallest number; null and empty ones meet nothing and stay as they are
+        rows = table(made.df.select("FID", made.geom, solid.alias("__solid")))
+        once = table(rows.filter("__solid").groupBy(made.geom).agg(F.min("FID").alias("FID")).select("FID", made.geom))
+        label = components(_sjoin.links(once, "FID", made.geom))
+        named = once.join(label, once.FID == label.v, "left").select(F.coalesce("c", "FID").alias("FID"), made.geom)
+        named = spread(named.union(rows.filter("NOT __solid").select("FID", made.geom)))
         out = GeoFrame(named, made.geom, made.srid).aggregate_by_group("FID", Agg("union_geom", made.geom, made.geom))
         return GeoFrame(out.df.select(made.geom, "FID"), made.geom, made.srid)
 
@@ -537,6 +541,10 @@ class GeoFrame:
     def coalesce(self, n: int) -> "GeoFrame":
         return self._with(self.df.coalesce(n))
 
+    def spread(self) -> "GeoFrame":
+        """Rows dealt to many tasks, for what costs much a row."""
+        return self._with(spread(self.df))
+
     def broadcast(self) -> "GeoFrame":
         """Marked for broadcast joins, if Catalyst's estimate of its size allows that."""
         return self._with(F.broadcast(self.df)) if _sjoin.estimated_bytes(self.df) <= _sjoin.FORCED_BYTES else self

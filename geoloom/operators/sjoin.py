@@ -13,11 +13,16 @@ size; else AQE divides cells that very many rows lie in.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import st
+from ..functions import kernel, st
+from ..runtime import table, tasks
 
 #: Cells that one envelope may cover; larger ones join by coarser levels.
 MAX_CELLS = 64
@@ -118,3 +123,56 @@ def _exact(relation: str, dist: float, a: Column, ka: T.DataType, b: Column, kb:
             dy = F.greatest(x["ymin"] - y["ymax"], y["ymin"] - x["ymax"], F.lit(0.0))
             return F.sqrt(dx * dx + dy * dy) <= dist
     return st.relation(relation, dist)(st.wkb(a, ka), st.wkb(b, kb))
+
+
+def forest(shapes: list, boxes: np.ndarray, own: np.ndarray, test: Callable) -> list[tuple[int, int]]:
+    """Pairs of positions that connect what the test relates, without those between rows that are connected already.
+
+    ``boxes`` has xmin, xmax, ymin, ymax; pairs of two rows that are not ``own`` are left out.
+    """
+    x0, x1, y0, y1 = boxes
+    label, out = np.arange(len(shapes)), []
+    for i in range(1, len(shapes)):
+        near = np.flatnonzero((x0[:i] <= x1[i]) & (x0[i] <= x1[:i]) & (y0[:i] <= y1[i]) & (y0[i] <= y1[:i]))
+        if not own[i]:
+            near = near[own[near]]
+        while len(near := near[label[near] != label[i]]):
+            j, near = near[0], near[1:]
+            if test(shapes[i], shapes[j]):
+                out.append((i, int(j)))
+                label[: i + 1][label[: i + 1] == label[i]] = label[j]
+    return out
+
+
+def links(df: DataFrame, id: str, geom: str) -> DataFrame:
+    """(a, b): links between ids of WKB geometries that connect all that meet, at most one for each row of a cell.
+
+    A cell's rows are united as they are compared, so a crowded cell costs no exact test for rows that others connect.
+    Runs jobs for the cells' size and levels.
+    """
+    size = cell_size(df, geom) / 2
+    rows = table(_prepared(df.select(id, geom), geom, "l").withColumn("l_level", _level("l", size)))
+    top = rows.agg(F.max("l_level")).first()[0] or 0
+    cells = _cells(rows, "l", size, top).select("level", "cx", "cy", F.col(f"l_row.`{id}`").alias("id"), F.col(f"l_row.`{geom}`").alias("g"), "l_xmin", "l_xmax", "l_ymin", "l_ymax", (F.col("l_level") == F.col("level")).alias("own"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, values, own = cell["id"].to_numpy(), cell["g"].to_pylist(), cell["own"].to_numpy()
+        boxes = np.array([cell[f"l_{n}"].to_numpy() for n in ("xmin", "xmax", "ymin", "ymax")])
+        read: dict[int, kernel.Geom] = {}
+
+        def get(i: int) -> kernel.Geom:
+            if i not in read:
+                read[i] = kernel.from_wkb(values[i])
+            return read[i]
+
+        def test(i: int, j: int) -> bool:
+            try:
+                return kernel.intersects(get(i), get(j))
+            except Exception:  # as in relations, a geometry that can't be read meets nothing
+                return False
+
+        got = forest(range(len(ids)), boxes, own, test) if own.any() else []
+        return pa.table({k: pa.array(ids[[p[n] for p in got]] if got else [], pa.int64()) for n, k in enumerate("ab")})
+
+    spark = df.sparkSession
+    return cells.repartition(tasks(spark), "level", "cx", "cy").groupBy("level", "cx", "cy").applyInArrow(run, "a long, b long")

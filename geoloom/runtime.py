@@ -59,3 +59,13 @@ def table(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that costs much more than its bytes tell, as that of Python functions."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to many tasks: a small file is one task's, however much work its rows are."""
+    return df.repartition(tasks(df.sparkSession))
