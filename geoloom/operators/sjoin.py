@@ -8,12 +8,13 @@ kept in one only, that of the lower left corner of the envelopes' common part, s
 envelope has the finest level at which it covers few cells, also lies in the coarser
 ones, and two envelopes meet at the coarser of their levels. So no row covers many
 cells, however unlike the extents are. A small right side is broadcast, by a check of its
-size; else AQE divides cells that very many rows lie in.
+size; else, where much is to be compared, crowded cells are divided by their rows, or AQE divides them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernel, st
-from ..runtime import table, tasks
+from ..runtime import spread, table, tasks
 
 #: Cells that one envelope may cover; larger ones join by coarser levels.
 MAX_CELLS = 64
@@ -30,13 +31,53 @@ MAX_CELLS = 64
 LEVELS = 6
 #: Right sides whose rows, once for each cell, have up to so many bytes are broadcast; the second where that is asked for.
 BROADCAST_BYTES, FORCED_BYTES = 32 << 20, 256 << 20
+#: Pairs of rows with a common cell from which a join's rows are dealt to tasks by that work, as their bytes don't tell it.
+MUCH_WORK = 20_000_000
+#: What a row of a cell costs, in pairs of rows that are compared.
+ROW_COST = 20
 
 
 def _prepared(df: DataFrame, geom: str, side: str, grow: float = 0.0) -> DataFrame:
     e = st.envelope(F.col(f"`{geom}`"), df.schema[geom].dataType)
     cols = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"{side}_row"), e.alias("e"))
     cols = cols.filter(F.col("e").isNotNull())
-    return cols.select(f"{side}_row", *[(F.col(f"e.{n}") + (grow if n.endswith("max") else -grow)).alias(f"{side}_{n}") for n in ("xmin", "xmax", "ymin", "ymax")])
+    # a little more than ``grow``, as sums are rounded; the exact test decides
+    more = lambda n: F.lit(grow) + (F.abs(F.col(f"e.{n}")) + grow) * 1e-12 if grow else F.lit(0.0)
+    return cols.select(f"{side}_row", *[(F.col(f"e.{n}") + more(n) if n.endswith("max") else F.col(f"e.{n}") - more(n)).alias(f"{side}_{n}") for n in ("xmin", "xmax", "ymin", "ymax")])
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Rows of a side, the mean extents of their envelopes, and the bounds of all."""
+
+    n: int
+    w: float
+    h: float
+    bounds: tuple[float, float, float, float]
+
+    def cells(self, size: float) -> float:
+        return self.n * (self.w / size + 1) * (self.h / size + 1)
+
+
+def profile(rows: DataFrame, side: str) -> Profile:
+    """Of prepared rows. One job."""
+    x0, x1, y0, y1 = (F.col(f"{side}_{n}") for n in ("xmin", "xmax", "ymin", "ymax"))
+    r = rows.agg(F.count(F.lit(1)), F.avg(x1 - x0), F.avg(y1 - y0), F.min(x0), F.max(x1), F.min(y0), F.max(y1)).first()
+    return Profile(r[0], r[1] or 0.0, r[2] or 0.0, tuple(r[3:])) if r[0] else Profile(0, 0.0, 0.0, (0.0, 0.0, 0.0, 0.0))
+
+
+def compared(l: Profile, r: Profile, size: float) -> float:
+    """About how many pairs of rows have a common cell."""
+    spans = [max(min(l.bounds[k + 1], r.bounds[k + 1]) - max(l.bounds[k], r.bounds[k]), size) for k in (0, 2)]
+    return l.cells(size) * r.cells(size) * size * size / (spans[0] * spans[1])
+
+
+def chosen_size(l: Profile, r: Profile) -> float:
+    """Of twice to a quarter of the mean extent, the cell size with the least to do; 1 for points alone."""
+    mean = max((l.w + l.h) / 2, (r.w + r.h) / 2)
+    if not mean:
+        return 1.0
+    return min((2 * mean / 2**k for k in range(4)), key=lambda s: compared(l, r, s) + ROW_COST * (l.cells(s) + r.cells(s)))
 
 
 def cell_size(df: DataFrame, geom: str) -> float:
@@ -75,32 +116,60 @@ def row_bytes(df: DataFrame, within: str = "") -> Column:
     return sum(long, F.lit(64 + 16 * len(df.columns))).cast("double")
 
 
-def _measured(prepared: DataFrame, df: DataFrame, side: str, size: float) -> tuple[int, float]:
-    """A side's coarsest level, and at most so many bytes that its rows have, once for each cell. One job."""
+def _measured(prepared: DataFrame, df: DataFrame, side: str, size: float) -> dict[int, float]:
+    """A side's levels, and about how many bytes the rows of each have, once for each cell of that level. One job."""
     wide = F.lit(size) * F.pow(F.lit(8.0), F.col(f"{side}_level"))
     span = lambda a: F.floor(F.col(f"{side}_{a}max") / wide) - F.floor(F.col(f"{side}_{a}min") / wide) + 1
-    cells = span("x") * span("y") * LEVELS  # no coarser level has more
-    r = prepared.agg(F.max(f"{side}_level"), F.sum(cells * row_bytes(df, f"{side}_row"))).first()
-    return r[0] or 0, r[1] or 0.0
+    cells = span("x") * span("y")  # no coarser level has more
+    return {r[0]: r[1] for r in prepared.groupBy(f"{side}_level").agg(F.sum(cells * row_bytes(df, f"{side}_row"))).collect()}
+
+
+def _dealt(l_cells: DataFrame, r_cells: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt to many tasks by cell, and a crowded cell's left rows to several. Runs a job for the cells' rows."""
+    keys, spark = ["level", "cx", "cy"], l_cells.sparkSession
+    n = tasks(spark)
+    counts = l_cells.groupBy(*keys).count()
+    total = l_cells.count() or 1
+    crowded = [(r.level, r.cx, r.cy, -(-r["count"] * n // total)) for r in counts.filter(F.col("count") > total / n).collect()]  # at most n
+    split = F.broadcast(spark.createDataFrame(crowded, "level int, cx long, cy long, parts long"))
+    l_cells = l_cells.join(split, keys, "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))).drop("parts")
+    r_cells = r_cells.join(split, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    keys = [*keys, "part"]
+    return l_cells.repartition(n, *keys), r_cells.repartition(n, *keys), keys
 
 
 def pairs(left: DataFrame, lgeom: str, right: DataFrame, rgeom: str, relation: str = "intersects", dist: float = 0.0, size: float | None = None, broadcast: bool | None = None) -> DataFrame:
-    """(l_row, r_row): each pair of rows that are related, once; null and empty geometries match nothing."""
-    plain = [df.schema[g].dataType == st.POINT for df, g in ((left, lgeom), (right, rgeom))]
-    size = size or max(cell_size(df, g) if not p else 0.0 for df, g, p in ((left, lgeom, plain[0]), (right, rgeom, plain[1]))) or 1.0
+    """(l_row, r_row): each pair of rows that are related, once; null and empty geometries match nothing.
+
+    Runs jobs for extents, levels and sizes. Where much is to be compared, the rows are dealt to tasks by that.
+    """
+    kinds = {"l": left.schema[lgeom].dataType, "r": right.schema[rgeom].dataType}
     grow = dist if relation == "within_distance" else 0.0
-    rows = [_prepared(left, lgeom, "l", grow), _prepared(right, rgeom, "r")]
-    rows = [r.withColumn(f"{k}_level", _level(k, size)) for r, k in zip(rows, "lr")]
-    right_top, right_bytes = _measured(rows[1], right, "r", size)
-    left_top = 0 if plain[0] and not grow else rows[0].agg(F.max("l_level")).first()[0] or 0
-    top = max(left_top, right_top)
-    l_cells, r_cells = (_cells(r, k, size, top) for r, k in zip(rows, "lr"))
+    grown = "r" if kinds["l"] == st.POINT and kinds["r"] != st.POINT else "l"  # a point stays in one cell
+    rows = {"l": _prepared(left, lgeom, "l", grow if grown == "l" else 0.0), "r": _prepared(right, rgeom, "r", grow if grown == "r" else 0.0)}
+    if relation in ("contains", "within") and all(k in (st.POINT, st.ENVELOPE) for k in kinds.values()):
+        held = "r" if relation == "contains" else "l"  # its corner alone has to be met
+        rows[held] = rows[held].withColumns({f"{held}_xmax": F.col(f"{held}_xmin"), f"{held}_ymax": F.col(f"{held}_ymin")})
+    found = {k: profile(r, k) for k, r in rows.items()}
+    size = size or chosen_size(found["l"], found["r"])
+    much = compared(found["l"], found["r"], size) > MUCH_WORK
+    if much:
+        rows["l"] = spread(rows["l"])
+    rows = {k: r.withColumn(f"{k}_level", _level(k, size)) for k, r in rows.items()}
+    held = _measured(rows["r"], right, "r", size)
+    left_top = 0 if found["l"].w == found["l"].h == 0 else rows["l"].agg(F.max("l_level")).first()[0] or 0
+    top = max(left_top, *held, 0)
+    right_bytes = sum(v * (top - k + 1) for k, v in held.items())
+    l_cells, r_cells = (_cells(r, k, size, top) for k, r in rows.items())
+    on = ["level", "cx", "cy"]
     if broadcast is not False and right_bytes <= (FORCED_BYTES if broadcast else BROADCAST_BYTES):
         r_cells = F.broadcast(r_cells)
+    elif much:
+        l_cells, r_cells, on = _dealt(l_cells, r_cells)
     s = F.lit(size) * F.pow(F.lit(8.0), F.col("level"))
     meet = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
     once = (F.floor(F.greatest("l_xmin", "r_xmin") / s) == F.col("cx")) & (F.floor(F.greatest("l_ymin", "r_ymin") / s) == F.col("cy"))
-    both = l_cells.join(r_cells, ["level", "cx", "cy"]).filter((F.col("level") == F.greatest("l_level", "r_level")) & meet & once)
+    both = l_cells.join(r_cells, on).filter((F.col("level") == F.greatest("l_level", "r_level")) & meet & once)
     exact = _exact(relation, dist, F.col(f"l_row.`{lgeom}`"), left.schema[lgeom].dataType, F.col(f"r_row.`{rgeom}`"), right.schema[rgeom].dataType)
     return (both if exact is None else both.filter(exact)).select("l_row", "r_row")
 
