@@ -219,9 +219,12 @@ class GeoFrame:
         return GeoFrame(out)
 
     # -- spatial joins
-    def _pairs(self, right: "GeoFrame", relation: str, dist: float, **options: Any) -> tuple[DataFrame, "GeoFrame"]:
+    def _same_srid(self, right: "GeoFrame") -> None:
         if self.srid and right.srid and self.srid != right.srid:
             raise ValueError(f"reference systems differ: {self.srid} and {right.srid}")
+
+    def _pairs(self, right: "GeoFrame", relation: str, dist: float, **options: Any) -> tuple[DataFrame, "GeoFrame"]:
+        self._same_srid(right)
         self._geometry(), right._geometry()
         return _sjoin.pairs(self.df, self.geom, right.df, right.geom, relation, dist, **options), right
 
@@ -245,12 +248,18 @@ class GeoFrame:
         """Left rows with a match, or without one if negated; null geometries have none.
 
         ``key`` names a unique column; without one the rows are numbered, which writes them.
+        Points and envelopes that intersect make no pairs: their matched rows are written.
         """
         left = self if key else self._numbered()
         uid = key or "__uid"
         slim = GeoFrame(left.df.select(uid, left.geom), left.geom, left.srid)
-        found, _ = slim._pairs(GeoFrame(right.df.select(right.geom), right.geom, right.srid), relation, dist)
-        ids = found.select(F.col(f"l_row.`{uid}`").alias("__m")).distinct()
+        native = all(f._geometry()[1] in (st.POINT, st.ENVELOPE) for f in (slim, right))
+        if native and relation == "intersects":
+            self._same_srid(right)
+            ids = table(_sjoin.matched(slim.df, uid, slim.geom, right.df, right.geom).withColumnRenamed(uid, "__m"))
+        else:
+            found, _ = slim._pairs(GeoFrame(right.df.select(right.geom).distinct(), right.geom, right.srid), relation, dist)
+            ids = found.select(F.col(f"l_row.`{uid}`").alias("__m")).distinct()
         out = left.df.join(ids, left.df[uid] == ids["__m"], "left_anti" if negated else "left_semi")
         return self._with(out if key else out.drop("__uid"))
 

@@ -35,6 +35,8 @@ BROADCAST_BYTES, FORCED_BYTES = 32 << 20, 256 << 20
 MUCH_WORK = 20_000_000
 #: What a row of a cell costs, in pairs of rows that are compared.
 ROW_COST = 20
+#: Rows from which a side whose rows cost little each is dealt to many tasks.
+SPREAD_ROWS = 1_000_000
 
 
 def _prepared(df: DataFrame, geom: str, side: str, grow: float = 0.0) -> DataFrame:
@@ -174,6 +176,50 @@ def pairs(left: DataFrame, lgeom: str, right: DataFrame, rgeom: str, relation: s
     return (both if exact is None else both.filter(exact)).select("l_row", "r_row")
 
 
+def _covering(cells: DataFrame, size: float) -> DataFrame:
+    """For each cell (level, cx, cy), few boxes that cover of it what all of the rows' envelopes do together.
+
+    A box over a whole cell stands for all others there; else boxes are cut to the cell, and those that agree in all
+    sides but one are one.
+    """
+    keys, sides = ["level", "cx", "cy"], ["r_xmin", "r_xmax", "r_ymin", "r_ymax"]
+    s = F.lit(size) * F.pow(F.lit(8.0), F.col("level"))
+    cut = {}
+    for axis, c in (("x", F.col("cx")), ("y", F.col("cy"))):
+        slack = F.lit(1e-6) + F.abs(c) * 1e-12  # a place that lies in a cell by rounding alone is within
+        cut[f"r_{axis}min"] = F.greatest(F.col(f"r_{axis}min"), (c - slack) * s)
+        cut[f"r_{axis}max"] = F.least(F.col(f"r_{axis}max"), (c + 1 + slack) * s)
+        cut[f"whole_{axis}"] = (F.col(f"r_{axis}min") <= (c - slack) * s) & (F.col(f"r_{axis}max") >= (c + 1 + slack) * s)
+    boxes = cells.withColumns(cut).groupBy(*keys, *sides).agg(F.max(F.col("whole_x") & F.col("whole_y")).alias("whole"))
+    boxes = table(boxes)
+    whole = boxes.filter("whole").select(*keys, *sides)
+    part = boxes.filter("NOT whole").join(whole.select(*keys), keys, "left_anti").select(*keys, *sides)
+    for side in sides:
+        farthest = F.max(side) if side.endswith("max") else F.min(side)
+        part = part.groupBy(*keys, *[x for x in sides if x != side]).agg(farthest.alias(side)).select(*keys, *sides)
+    return table(whole.union(part))
+
+
+def matched(left: DataFrame, uid: str, lgeom: str, right: DataFrame, rgeom: str) -> DataFrame:
+    """The ids of left rows that meet any right one; both geometries are native.
+
+    No pairs are made: a row ends at its first match, and the right side is few boxes a cell. Runs jobs.
+    """
+    rows = {"l": _prepared(left.select(uid, lgeom), lgeom, "l"), "r": _prepared(right.select(rgeom).distinct(), rgeom, "r")}
+    found = {k: profile(r, k) for k, r in rows.items()}
+    size = (found["r"].w + found["r"].h) / 8 or (found["l"].w + found["l"].h) / 2 or 1.0
+    rows = {k: r.withColumn(f"{k}_level", _level(k, size)) for k, r in rows.items()}
+    tops = {k: 0 if found[k].w == found[k].h == 0 else r.agg(F.max(f"{k}_level")).first()[0] or 0 for k, r in rows.items()}
+    r_cells = _covering(_cells(rows["r"].drop("r_row"), "r", size, max(tops.values())), size)
+    l_cells = _cells(spread(rows["l"]) if found["l"].n > SPREAD_ROWS else rows["l"], "l", size, max(tops.values()))
+    if r_cells.count() * 128 <= BROADCAST_BYTES:
+        r_cells = F.broadcast(r_cells)
+    l, r = l_cells.alias("a"), r_cells.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("level", "cx", "cy")]
+    meet = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
+    return l.join(r, same[0] & same[1] & same[2] & meet, "left_semi").select(F.col(f"l_row.`{uid}`").alias(uid)).distinct()
+
+
 def _exact(relation: str, dist: float, a: Column, ka: T.DataType, b: Column, kb: T.DataType) -> Column | None:
     """The test beyond meeting envelopes; None where that decides."""
     native = {repr(st.POINT), repr(st.ENVELOPE)}
