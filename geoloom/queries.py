@@ -243,14 +243,14 @@ def to_point_distance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH p AS ({PTS}) SELECT id, round(sqrt((x - 50.0) ** 2 + (y - 50.0) ** 2), 6) AS dist FROM p")
 def st_distance(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    g = customer_points(spark, d).df
+    g = customer_points(spark, d).spread().df
     return g.select("id", F.round(st.BY_NAME["ST_Distance"](st.wkb(F.col("the_geom"), st.POINT), st.BY_NAME["ST_Point"](F.lit(50.0), F.lit(50.0))), 6).alias("dist"))
 
 
 @query(f"WITH b AS ({SBOX}) SELECT id, round((x1 - x0) * (y1 - y0), 6) AS area, round(2 * (x1 - x0 + y1 - y0), 6) AS length, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy FROM b")
 def st_measures(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    b = supplier_boxes(spark, d).df.withColumn("g", st.wkb(F.col("the_geom"), st.ENVELOPE))
+    b = supplier_boxes(spark, d).spread().df.withColumn("g", st.wkb(F.col("the_geom"), st.ENVELOPE))
     c = st.envelope(st.BY_NAME["ST_Centroid"](F.col("g")), st._binary)
     return b.select("id", F.round(st.BY_NAME["ST_Area"]("g"), 6).alias("area"), F.round(st.BY_NAME["ST_Length"]("g"), 6).alias("length"), c.alias("c")).select("id", "area", "length", F.round("c.xmin", 6).alias("cx"), F.round("c.ymin", 6).alias("cy"))
 
@@ -301,7 +301,7 @@ def st_intersection(spark: SparkSession, d: str) -> DataFrame:
     """On WKB, by the overlay."""
     ship(spark)
     fixed = st.BY_NAME["ST_GeomFromText"](F.lit("POLYGON ((40 40, 60 40, 60 60, 40 60, 40 40))"))
-    b = supplier_boxes(spark, d).df.withColumn("g", st.BY_NAME["ST_Intersection"](st.wkb(F.col("the_geom"), st.ENVELOPE), fixed))
+    b = supplier_boxes(spark, d).spread().df.withColumn("g", st.BY_NAME["ST_Intersection"](st.wkb(F.col("the_geom"), st.ENVELOPE), fixed))
     return b.withColumn("area", F.round(st.BY_NAME["ST_Area"]("g"), 6)).filter("area > 0").select("id", "area")
 
 
@@ -311,12 +311,12 @@ def st_difference_union(spark: SparkSession, d: str) -> DataFrame:
     fixed = st.BY_NAME["ST_GeomFromText"](F.lit("POLYGON ((40 40, 60 40, 60 60, 40 60, 40 40))"))
     g = st.wkb(F.col("the_geom"), st.ENVELOPE)
     area = st.BY_NAME["ST_Area"]
-    return supplier_boxes(spark, d).df.select("id", F.round(area(st.BY_NAME["ST_Difference"](g, fixed)), 6).alias("less"), F.round(area(st.BY_NAME["ST_Union"](g, fixed)), 6).alias("both"))
+    return supplier_boxes(spark, d).spread().df.select("id", F.round(area(st.BY_NAME["ST_Difference"](g, fixed)), 6).alias("less"), F.round(area(st.BY_NAME["ST_Union"](g, fixed)), 6).alias("both"))
 
 
 @query(f"WITH p AS ({PTS}) SELECT id, round(16 * sin(pi() / 16) * 4, 6) AS area, round(x, 6) AS cx, round(y, 6) AS cy FROM p")
 def buffer_centroid(spark: SparkSession, d: str) -> DataFrame:
-    f = customer_points(spark, d).buffer(2.0, "ring")
+    f = customer_points(spark, d).spread().buffer(2.0, "ring")
     f = f.centroid(output="c")
     e = st.envelope(F.col("c"), st._binary)
     return f.df.select("id", F.round(st.BY_NAME["ST_Area"]("ring"), 6).alias("area"), e.alias("e")).select("id", "area", F.round("e.xmin", 6).alias("cx"), F.round("e.ymin", 6).alias("cy"))
@@ -595,7 +595,7 @@ def st_interior_hull_envelope(spark: SparkSession, d: str) -> DataFrame:
     """A point within, the hull's area and the envelope of boxes as WKB."""
     ship(spark)
     g = st.wkb(F.col("the_geom"), st.ENVELOPE)
-    b = supplier_boxes(spark, d).df.withColumn("g", g)
+    b = supplier_boxes(spark, d).spread().df.withColumn("g", g)
     e = st.BY_NAME["ST_AsEnvelope"]("g")
     b = b.select("id", st.BY_NAME["ST_Contains"](F.col("g"), st.BY_NAME["ST_InteriorPoint"]("g")).alias("within"), F.round(st.BY_NAME["ST_Area"](st.BY_NAME["ST_ConvexHull"]("g")), 6).alias("hull"), e.alias("e"))
     return b.select("id", "within", "hull", F.col("e.xmin").alias("x0"), F.col("e.ymax").alias("y1"))
@@ -607,7 +607,7 @@ def frame_intersection(spark: SparkSession, d: str) -> DataFrame:
     from .functions import kernel as k
 
     shape = k.to_wkb(k.box(40.0, 40.0, 60.0, 60.0))
-    f = supplier_boxes(spark, d).filter_spatial(shape)
+    f = supplier_boxes(spark, d).spread().filter_spatial(shape)
     f = GeoFrame(f.df.withColumn("fixed", F.lit(bytearray(shape))), "the_geom").intersection("fixed", "common")
     return f.df.select("id", F.round(st.BY_NAME["ST_Area"]("common"), 6).alias("area"))
 
