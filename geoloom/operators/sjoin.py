@@ -33,6 +33,8 @@ LEVELS = 6
 BROADCAST_BYTES, FORCED_BYTES = 32 << 20, 256 << 20
 #: Pairs of rows with a common cell from which a join's rows are dealt to tasks by that work, as their bytes don't tell it.
 MUCH_WORK = 20_000_000
+#: Pairs that a task of such a join compares about; the tasks grow with the work, up to the second number.
+TASK_WORK, MAX_TASKS = 100_000_000, 10_000
 #: What a row of a cell costs, in pairs of rows that are compared.
 ROW_COST = 20
 #: Rows from which a side whose rows cost little each is dealt to many tasks.
@@ -126,10 +128,9 @@ def _measured(prepared: DataFrame, df: DataFrame, side: str, size: float) -> dic
     return {r[0]: r[1] for r in prepared.groupBy(f"{side}_level").agg(F.sum(cells * row_bytes(df, f"{side}_row"))).collect()}
 
 
-def _dealt(l_cells: DataFrame, r_cells: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides dealt to many tasks by cell, and a crowded cell's left rows to several. Runs a job for the cells' rows."""
+def _dealt(l_cells: DataFrame, r_cells: DataFrame, n: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt to n tasks by cell, and a crowded cell's left rows to several. Runs a job for the cells' rows."""
     keys, spark = ["level", "cx", "cy"], l_cells.sparkSession
-    n = tasks(spark)
     counts = l_cells.groupBy(*keys).count()
     total = l_cells.count() or 1
     crowded = [(r.level, r.cx, r.cy, -(-r["count"] * n // total)) for r in counts.filter(F.col("count") > total / n).collect()]  # at most n
@@ -154,9 +155,10 @@ def pairs(left: DataFrame, lgeom: str, right: DataFrame, rgeom: str, relation: s
         rows[held] = rows[held].withColumns({f"{held}_xmax": F.col(f"{held}_xmin"), f"{held}_ymax": F.col(f"{held}_ymin")})
     found = {k: profile(r, k) for k, r in rows.items()}
     size = size or chosen_size(found["l"], found["r"])
-    much = compared(found["l"], found["r"], size) > MUCH_WORK
+    work = compared(found["l"], found["r"], size)
+    much, n = work > MUCH_WORK, max(tasks(left.sparkSession), min(MAX_TASKS, int(work / TASK_WORK)))
     if much:
-        rows["l"] = spread(rows["l"])
+        rows["l"] = spread(rows["l"], n)
     rows = {k: r.withColumn(f"{k}_level", _level(k, size)) for k, r in rows.items()}
     held = _measured(rows["r"], right, "r", size)
     left_top = 0 if found["l"].w == found["l"].h == 0 else rows["l"].agg(F.max("l_level")).first()[0] or 0
@@ -167,7 +169,7 @@ def pairs(left: DataFrame, lgeom: str, right: DataFrame, rgeom: str, relation: s
     if broadcast is not False and right_bytes <= (FORCED_BYTES if broadcast else BROADCAST_BYTES):
         r_cells = F.broadcast(r_cells)
     elif much:
-        l_cells, r_cells, on = _dealt(l_cells, r_cells)
+        l_cells, r_cells, on = _dealt(l_cells, r_cells, n)
     s = F.lit(size) * F.pow(F.lit(8.0), F.col("level"))
     meet = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
     once = (F.floor(F.greatest("l_xmin", "r_xmin") / s) == F.col("cx")) & (F.floor(F.greatest("l_ymin", "r_ymin") / s) == F.col("cy"))

@@ -66,6 +66,6 @@ def tasks(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt to many tasks: a small file is one task's, however much work its rows are."""
-    return df.repartition(tasks(df.sparkSession))
+def spread(df: DataFrame, n: int = 0) -> DataFrame:
+    """The rows dealt to many tasks, to n if those are more: a small file is one task's, however much work its rows are."""
+    return df.repartition(max(n, tasks(df.sparkSession)))
