@@ -409,7 +409,8 @@ class GeoFrame:
 
     def to_point(self, x: str, y: str, output: str = "the_geom", srid: str | None = None) -> "GeoFrame":
         """A native point of two columns of numbers or numeric strings."""
-        return GeoFrame(self.df.withColumn(output, st.point_of(F.col(f"`{x}`"), F.col(f"`{y}`"))), output, srid or self.srid)
+        plain = all(isinstance(self.df.schema[c].dataType, (T.DoubleType, T.IntegralType)) for c in (x, y))
+        return GeoFrame(self.df.withColumn(output, st.point_of(F.col(f"`{x}`"), F.col(f"`{y}`"), plain)), output, srid or self.srid)
 
     def to_box(self, xmin: str, ymin: str, xmax: str, ymax: str, output: str = "the_geom", srid: str | None = None) -> "GeoFrame":
         """A native envelope of four columns."""
