@@ -483,17 +483,22 @@ class GeoFrame:
     def arc_buffer(self, dist: float, dissolve: bool = False) -> "GeoFrame":
         """Buffers with a number ``FID``; dissolved: one union for each connected set, as (geometry, FID)."""
         numbered = self.assign_uid("FID")
-        made = numbered.spread().buffer(dist)
         if not dissolve:
-            return made
-        made = GeoFrame(table(made.df), made.geom, made.srid)
+            return numbered.spread().buffer(dist)
+        # equal geometries are buffered once, and equal buffers are one, of the smallest number
+        rows = GeoFrame(table(numbered.df.select("FID", self.geom)), self.geom, self.srid)
+        first = GeoFrame(rows.df.groupBy(self.geom).agg(F.min("FID").alias("FID")), self.geom, self.srid)
+        first = table(GeoFrame(first.df.withColumn("__own", F.col(f"`{self.geom}`")), self.geom, self.srid).spread().buffer(dist).df)
+        made = GeoFrame(first, self.geom, self.srid)
         solid = st.envelope(*made._geometry()).isNotNull()
-        # equal geometries are one, of the smallest number; null and empty ones meet nothing and stay as they are
-        rows = table(made.df.select("FID", made.geom, solid.alias("__solid")))
-        once = table(rows.filter("__solid").groupBy(made.geom).agg(F.min("FID").alias("FID")).select("FID", made.geom))
+        first = table(made.df.withColumn("__solid", solid))
+        once = table(first.filter("__solid").groupBy(made.geom).agg(F.min("FID").alias("FID")).select("FID", made.geom))
+        # null and empty ones meet nothing and stay as they are, each with its number
+        void = first.filter("NOT __solid").select("__own", F.col(f"`{made.geom}`").alias("__made"))
+        void = rows.df.join(void, F.col(f"`{made.geom}`").eqNullSafe(F.col("__own"))).select("FID", F.col("__made").alias(made.geom))
         label = components(_sjoin.links(once, "FID", made.geom))
         named = once.join(label, once.FID == label.v, "left").select(F.coalesce("c", "FID").alias("FID"), made.geom)
-        named = spread(named.union(rows.filter("NOT __solid").select("FID", made.geom)))
+        named = spread(named.union(void))
         out = GeoFrame(named, made.geom, made.srid).aggregate_by_group("FID", Agg("union_geom", made.geom, made.geom))
         return GeoFrame(out.df.select(made.geom, "FID"), made.geom, made.srid)
 
