@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack_bytes, pack_u32, partitions, ship, take_runs, unpack_bytes, unpack_u32
+from .common import pack_bytes, pack_u32, partitions, released, ship, take_runs, unpack_bytes, unpack_u32
 
 #: Bytes of text after which a block is closed.
 BLOCK_CHARS = 24_000_000
@@ -353,9 +353,9 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, finish, sch
     ship(spark)
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    parts = rows.mapInArrow(_split_blocks(path, min(n, BUCKETS)), _PARTS_SQL)
-    ids = parts.repartition(n, "bucket").mapInArrow(_encode_buckets(path), _PARTS_SQL)
-    return ids.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_gather(finish), schema)
+    parts = rows.mapInArrow(released(_split_blocks(path, min(n, BUCKETS))), _PARTS_SQL)
+    ids = parts.repartition(n, "bucket").mapInArrow(released(_encode_buckets(path)), _PARTS_SQL)
+    return ids.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(released(_gather(finish)), schema)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, table
+from .common import partitions, released, ship, table
 from .words import alnum_words, flat, gram_hash, hashed
 
 #: Fixed masks; 1: the word counts, 0: any word may stand there.
@@ -196,7 +196,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     count = seeds.count()
     bits, filled = _filter(seeds, count)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    places = rows.mapInArrow(_places(masks, bits, spark.sparkContext.broadcast(filled)), "doc long, th long, at long, seed long")
+    places = rows.mapInArrow(released(_places(masks, bits, spark.sparkContext.broadcast(filled))), "doc long, th long, at long, seed long")
     small = F.broadcast if count <= BROADCAST_SEEDS else (lambda df: df)
     found = table(places.join(small(seeds), "seed").select("doc", "th", "item", "ik", (F.col("at") - F.col("pos")).alias("d")).distinct())
     held = found.select(F.col("doc").alias("d2"), F.col("th").alias("t2")).distinct()
@@ -206,7 +206,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     words = bench.select("ik", "item_words").dropDuplicates(["ik"])
     tried = found.join(small(words), "ik").select("doc", "th", F.lit(1).alias("role"), none("string").alias("text"), "item", "item_words", "d")
     dealt = heads.union(tried).repartition(partitions(spark), "doc", "th").sortWithinPartitions("doc", "th", "role")
-    checked = dealt.mapInArrow(_verify(min_words, min_share), "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long")
+    checked = dealt.mapInArrow(released(_verify(min_words, min_share)), "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long")
     best = F.max(F.struct("n_words", "n_same", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.d")).alias("doc_word"), (-F.col("b.i")).alias("item_word"), "b.n_words", "b.n_same")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship, table
+from .common import cut, partitions, released, ship, table
 
 STRIP = b" \t\n\x0b\x0c\r"
 _TH = "__gl_text_hash"
@@ -108,7 +108,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = table(rows.mapInArrow(_keys(min_chars), "h1 long, h2 long, doc long, th long, pos int, n int"))
+    lines = table(rows.mapInArrow(released(_keys(min_chars)), "h1 long, h2 long, doc long, th long, pos int, n int"))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc_nulls_last(), F.col("th"), F.col("pos")]
     dealt = cut(lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order))
     # At most one row a range comes to the driver: the hashes at the ranges' ends.
@@ -173,7 +173,7 @@ def apply(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str =
             yield pa.RecordBatch.from_arrays(cols, docs_names)
 
     docs_names = list(docs.columns)
-    out = both.mapInArrow(run, schema)
+    out = both.mapInArrow(released(run), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).cast(schema["n_chars"].dataType))
     return out.select(*docs_names)

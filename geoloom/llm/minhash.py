@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, ship, table
+from .common import mix64, partitions, released, ship, table
 from .components import components
 from .words import blank_words, flat, gram_hash, hashed
 
@@ -155,7 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     need = heads.union(dealt.select("a", "chunk", F.lit(1), "b"))
     rows = need.join(texts, "doc").select("a", "chunk", "role", "doc", "text")
     rows = rows.repartition(partitions(pairs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "role")
-    done = rows.mapInArrow(_compare(shingle), "a long, b long, shared long, either long")
+    done = rows.mapInArrow(released(_compare(shingle)), "a long, b long, shared long, either long")
     return table(done.filter(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b"))
 
 
@@ -230,7 +230,7 @@ def _unlike(texts: DataFrame, percent: int, shingle: int) -> DataFrame:
             cols = [np.repeat(np.array([batch.column(k)[i].as_py() for i in at], np.int64), n) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["doc", "th", "n", "s"])
 
-    rows = texts.select("doc", "text", "th").mapInArrow(run, "doc long, th long, n long, s long")
+    rows = texts.select("doc", "text", "th").mapInArrow(released(run), "doc long, th long, n long, s long")
     row = F.struct("doc", "th", "n")
     once = rows.groupBy("s").agg(F.min(row).alias("row"), F.max(row).alias("other")).filter("row = other")
     return once.groupBy("row").agg(F.count(F.lit(1)).alias("alone")).filter((F.col("row.n") - F.col("alone")) * 100 < F.col("row.n") * percent).select("row.doc", "row.th")
@@ -269,7 +269,7 @@ def _rest(pairs: DataFrame, texts: DataFrame, label: DataFrame, percent: int, sh
     dealt = dealt.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "c", "whole")
     rows = dealt.join(texts, "doc").filter("whole or gone is null").select("g", "lo", "hi", "side", "doc", "c", "text")
     rows = rows.repartition(partitions(pairs.sparkSession), "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
-    return table(rows.mapInArrow(_blocks(percent, shingle), "a long, b long"))
+    return table(rows.mapInArrow(released(_blocks(percent, shingle)), "a long, b long"))
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bands: int | None = None, band_rows: int = ROWS) -> DataFrame:
@@ -278,7 +278,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_c
     bands = bands or bands_for(percent, band_rows)
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    feats = table(rows.mapInArrow(_features(shingle, bands, band_rows), "doc long, n long, k1 long, k2 long, bands array<long>"))
+    feats = table(rows.mapInArrow(released(_features(shingle, bands, band_rows)), "doc long, n long, k1 long, k2 long, bands array<long>"))
     named = feats.filter("n > 0 and doc is not null")
     classes = named.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     first = classes.filter("copies > 1").select("k1", "k2", "rep")

@@ -28,12 +28,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import released, ship
 from .words import alnum_words
 
 #: Categories in the order of the chain, as SQL over the labels.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 MAX_ROWS = 8_000
+#: Words whose features a scorer keeps; the table is begun anew beyond it.
+TABLE_WORDS = 200_000
 FOLDS = 3
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6, 7)
@@ -170,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
             at = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1 + len(names))), at], ["__gl_doc", *names, "at"])
 
-    got = first.mapInArrow(extract, "__gl_doc long, " + ", ".join(f"{n} double" for n in names) + ", at array<int>").toArrow().combine_chunks().sort_by("__gl_doc")
+    got = first.mapInArrow(released(extract), "__gl_doc long, " + ", ".join(f"{n} double" for n in names) + ", at array<int>").toArrow().combine_chunks().sort_by("__gl_doc")
     folds = got["__gl_doc"].to_numpy() % FOLDS
     known = np.column_stack([got[n].to_numpy() for n in names]).astype(float) if len(got) else np.zeros((0, len(names)))
     lists = [x for c in got["at"].chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(c).to_numpy())[:-1])] if len(got) else []
@@ -191,7 +193,7 @@ class _Scorer:
             own = set(alnum_words(text.as_py()))
             new = [w for w in own if w not in known]
             if new:
-                if len(known) > 1_000_000:
+                if len(known) > TABLE_WORDS:
                     known.clear()
                     new = list(own)
                 known.update(dict.fromkeys(new, ()))
@@ -214,7 +216,7 @@ def scores(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(len(names))), pa.array(p[:, -1] >= threshold)], ["doc_id", *(f"p_{n}" for n in names), "rejected"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", rejected boolean")
+    return rows.mapInArrow(released(run), "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", rejected boolean")
 
 
 def apply(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,4 +229,4 @@ def apply(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_c
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at))[:, -1] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

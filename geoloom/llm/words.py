@@ -13,7 +13,7 @@ from .common import mix64
 #: Words of texts that are worked on together.
 FLAT_WORDS = 400_000
 #: Words that a process keeps hashed; the table is begun anew beyond it.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 150_000
 
 _ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 
