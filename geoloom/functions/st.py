@@ -158,7 +158,7 @@ def point_of(x: Column, y: Column, plain: bool = False) -> Column:
 
     ``plain`` numbers, doubles or integers, are not read as text, which filters that are pushed down would do many times a row.
     """
-    x, y = (c.cast("double") if plain else F.nullif(c.cast("string"), F.lit("")).cast("double") for c in (x, y))
+    x, y = (F.when(c.isNotNull(), c.cast("double")) if plain else F.nullif(c.cast("string"), F.lit("")).cast("double") for c in (x, y))
     return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
 
 
