@@ -24,9 +24,12 @@ from ..operators import quadkey
 from ..operators.frame import GeoFrame
 from ..operators.quadkey import OUTLIER, bounds as tile_bounds
 from ..operators.sjoin import row_bytes
+from ..runtime import spread
 
 INFO = "_dataset.json"
 TYPES = ("FILE", "TEXT", "SPATIAL_CLUSTER")
+#: Bytes of rows from which a clustered copy is made by many tasks, however few files or tiles the rows have.
+MUCH_BYTES = 32 << 20
 
 
 class DataSetNotFound(KeyError):
@@ -236,20 +239,24 @@ class Catalog:
         return GeoFrame(self.spark.read.format(format).options(**options).load(path), geom, srid)
 
     def store_clustered(self, frame: GeoFrame, id: str, keys: list[str], force: bool = False, bind_outlier: bool = True, packs: int | None = None, valid: tuple | None = None, block_size: int | None = None) -> "DataSet":
-        """Cluster by quad keys: consecutive keys lie together in ``packs`` ranges, and a row lies in each tile that it meets.
+        """Cluster by quad keys: consecutive keys lie together in ``packs`` ranges (a crowded tile of a large set in several), and a row lies in each tile that it meets.
 
         Without ``packs`` there are as many as the rows' bytes, which a job sums up, need
         at the default cluster size, and ``Defaults.partitions`` at least. Rows beyond
         ``valid`` (xmin, ymin, xmax, ymax) are outliers, kept if ``bind_outlier``.
         """
         info = self.create(id, frame.schema, frame.geom, frame.srid, force, "SPATIAL_CLUSTER", block_size).info
+        rows, ranges = frame.df, ["quad_key"]
         if not packs:
             size = frame.df.agg(F.sum(row_bytes(frame.df))).first()[0] or 0
             packs = max(self.defaults.partitions, math.ceil(size / self.defaults.cluster_size))
+            if size > MUCH_BYTES:  # neither one file nor one crowded tile is one task's
+                rows, ranges = spread(rows), ["quad_key", "__salt"]
         # each copy knows all tiles of its row; the first in order owns it
-        df = quadkey.attach(frame.df, frame.geom, keys, valid, bind_outlier, tiles="__tiles").drop("mbr")
+        df = quadkey.attach(rows, frame.geom, keys, valid, bind_outlier, tiles="__tiles").drop("mbr")
         df = df.withColumn("__owned", F.col("quad_key") == F.get("__tiles", F.lit(0)))
-        ranged = df.repartitionByRange(packs, "quad_key").sortWithinPartitions("quad_key")
+        salt = F.xxhash64("quad_key", *[F.col(f"`{f.name}`") for f in frame.schema if "map<" not in f.dataType.simpleString()])  # maps have no hash
+        ranged = df.withColumn("__salt", salt).repartitionByRange(packs, *ranges).drop("__salt").sortWithinPartitions("quad_key")
         ranged.write.option("compression", info.compression).option("parquet.block.size", info.block_size).partitionBy("quad_key").parquet(self._at(id) + "/part=0")
         stored = DataSet(self, info)._rows(True)
         rows = stored.groupBy("quad_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("__owned").alias("o")).collect() if self._any(id) else []  # one a key
